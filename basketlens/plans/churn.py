@@ -90,25 +90,46 @@ def data_boundary(t: Tables, p: Params) -> DataFrame:
     return items.agg(F.max(day("created_at")).alias("max_observed_order_date"))
 
 
+def rollup_boundary(rollup: DataFrame, c: str = "last_t") -> Column:
+    """Data boundary (latest activity) read from the per-user rollup, whose
+    shuffle the main plan already runs, so the subquery reuses that exchange
+    instead of scanning the source again."""
+    return max_scalar(rollup, F.col(c))
+
+
 def eligible_user_months(t: Tables, p: Params) -> DataFrame:
     """User-months whose 90-day horizon ends on or before the data boundary."""
-    items, r = _item_day_rollup(t, p, windowed=True)
-    boundary = max_scalar(items, day("created_at"))
-    f = flag_churn(r, boundary, p.horizon_days, "date")
+    _, r = _item_day_rollup(t, p, windowed=True)
+    f = flag_churn(r, rollup_boundary(r), p.horizon_days, "date")
     return f.select("user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_order_date_in_month"))
 
 
 def churn_90d_windowed(t: Tables, p: Params) -> DataFrame:
     """Task C: windowed history, boundary = last completed day in the window."""
-    items, r = _item_day_rollup(t, p, windowed=True)
-    boundary = max_scalar(items, day("created_at"))
-    return churn_counts(flag_churn(r, boundary, p.horizon_days, "date"), p.horizon_days)
+    _, r = _item_day_rollup(t, p, windowed=True)
+    return churn_counts(flag_churn(r, rollup_boundary(r), p.horizon_days, "date"), p.horizon_days)
 
 
 def churn_90d_full_history(t: Tables, p: Params) -> DataFrame:
-    """Notebook Task C: all history, boundary = last day over all items of any status."""
-    _, r = _item_day_rollup(t, p, windowed=False)
-    boundary = max_scalar(t.order_items, day("created_at"))
+    """Notebook Task C: all history, boundary = last day over all items of any status.
+
+    One scan: the (user, month) rollup runs over every item, with the
+    completed-only first/last days as conditional aggregates and the
+    any-status maximum alongside; user-months without completed items are
+    dropped after the boundary is read."""
+    done = (F.col("status") == p.completed_status) & F.col("returned_at").isNull()
+    d = day("created_at")
+    r_all = (
+        t.order_items.withColumn("_d", d)
+        .groupBy("user_id", month("_d").alias("period_start"))
+        .agg(
+            F.min(F.when(done, F.col("_d"))).alias("first_t"),
+            F.max(F.when(done, F.col("_d"))).alias("last_t"),
+            F.max("_d").alias("_any_t"),
+        )
+    )
+    boundary = rollup_boundary(r_all, "_any_t")
+    r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
     return churn_counts(flag_churn(r, boundary, p.horizon_days, "date"), p.horizon_days)
 
 
@@ -116,7 +137,7 @@ def orders_in_next_days(t: Tables, p: Params) -> DataFrame:
     """For each eligible user-month (Task C), the number of distinct completed
     orders with an item day in (last, last + h] (the band join's count)."""
     items, r = _item_day_rollup(t, p, windowed=True)
-    boundary = max_scalar(items, day("created_at"))
+    boundary = rollup_boundary(r)
     q = r.filter(date_plus("last_t", p.horizon_days) <= boundary).select(
         "user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_day")
     )
@@ -145,8 +166,7 @@ def churn_vs_revenue(t: Tables, p: Params, horizon: int | None = None) -> DataFr
     h = horizon or p.horizon_days
     orders = _orders(t, p, from_start=True)
     r = period_rollup(orders, "user_id", F.col("order_ts"))
-    boundary = max_scalar(orders, F.col("order_ts"))
-    churn = churn_counts(flag_churn(r, boundary, h, "ts"), h)
+    churn = churn_counts(flag_churn(r, rollup_boundary(r), h, "ts"), h)
     # Both sides have one row per month: a fixed, tiny bound.
     rev = _monthly_order_revenue(orders)
     return churn.join(F.broadcast(rev), "month", "left").select(
@@ -164,7 +184,7 @@ def churn_90d_floor_days(t: Tables, p: Params) -> DataFrame:
     items = completed_items(t.order_items, p)
     orders = completed_orders(items)
     r = period_rollup(orders, "user_id", F.col("order_ts"))
-    boundary = max_scalar(orders, midnight("order_ts"))
+    boundary = midnight(rollup_boundary(r))
     churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days"), p.horizon_days)
     rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))
     return churn.join(F.broadcast(rev), "month", "left").select(
@@ -175,9 +195,11 @@ def churn_90d_floor_days(t: Tables, p: Params) -> DataFrame:
 def session_churn(t: Tables, p: Params, horizon: int = 14, period: str = "month") -> DataFrame:
     """Activity churn over events: a user-period is churned when the user has
     no event within `horizon` days after their last event in the period."""
-    ev = t.events.filter(F.col("user_id").isNotNull())
-    r = period_rollup(ev, "user_id", F.col("created_at"), period=period)
-    boundary = max_scalar(t.events, F.col("created_at"))
+    # One scan: anonymous events form their own (null-user) group, which
+    # still counts for the boundary and is dropped afterwards.
+    r_all = period_rollup(t.events, "user_id", F.col("created_at"), period=period)
+    boundary = rollup_boundary(r_all)
+    r = r_all.filter(F.col("user_id").isNotNull())
     return churn_counts(flag_churn(r, boundary, horizon, "ts"), horizon, label=period, who="users")
 
 
