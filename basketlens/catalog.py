@@ -17,6 +17,7 @@ from basketlens.operators.facts import completed_items, completed_orders, items_
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
 from basketlens.plans import churn, cohorts, experiment, launch, metrics, mix, orders, report, segments
+from basketlens.plans.sql import monthly_product_metrics_sql
 from basketlens.sources.export import export_tables
 from basketlens.sources.fixture import fixture_tables
 from basketlens.sources.tables import ORDER_ITEM_COLUMNS, Tables
@@ -119,6 +120,7 @@ METRICS: dict[str, Metric] = {
     "churn_vs_revenue": lambda t, p: churn.churn_vs_revenue(t, p),
     "churn_90d_floor_days": churn.churn_90d_floor_days,
     "churn_30d": churn.churn_30d,
+    "churn_vs_revenue_full_months": churn.churn_vs_revenue_full_months,
     "session_churn_14d": churn.session_churn_14d,
     "session_churn_1d": churn.session_churn_1d,
     "revenue_churn_corr": report.revenue_churn_corr,
@@ -130,8 +132,10 @@ METRICS: dict[str, Metric] = {
     "first_order_repeat_by_channel": lambda t, p: orders.first_order_repeat_by_channel(t, p),
     "first_order_repeat_censored": orders.first_order_repeat_censored,
     # customers
-    "customer_snapshot": segments.customer_snapshot,
-    "segment_split": segments.segment_split,
+    "customer_snapshot": lambda t, p: segments.customer_snapshot(t, p),
+    "segment_split": lambda t, p: segments.segment_split(t, p),
+    "segment_split_notebook": segments.segment_split_notebook,
+    "customer_snapshot_notebook": lambda t, p: segments.customer_snapshot(t, p, clock="ts"),
     "cohort_retention": cohorts.cohort_retention,
     "experiment_readout": experiment.experiment_readout,
     # report
@@ -156,4 +160,7 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {name: _bind(m) for name, m in METRICS.items()}
     q["export_report"] = export_report
+    q["monthly_product_metrics_sql"] = lambda spark, sf_dir: monthly_product_metrics_sql(
+        spark, fixture_tables(spark, sf_dir), fixture_params()
+    )
     return q

@@ -107,6 +107,13 @@ def band(value: str | Column, edges: Sequence[float], labels: Sequence[str]) ->
     return ordered_case(v, rules, labels[len(edges)])
 
 
+def ordered(df, *cols, on: bool = True):
+    """Sort a (small) result for presentation, like the original ORDER BY.
+
+    Internal reuse passes on=False so no sort sits inside a larger plan."""
+    return df.orderBy(*cols) if on else df
+
+
 def label_rank(c: str | Column, labels: Sequence[str]) -> Column:
     """Integer position of a label in a fixed order (ordered categorical)."""
     m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i + 1))])

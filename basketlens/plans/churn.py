@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import date_plus, day, midnight, money, month, plus_days, ratio
+from basketlens.functions import date_plus, day, midnight, money, month, ordered, plus_days, ratio
 from basketlens.operators.bands import count_following
 from basketlens.operators.facts import (
     completed_items,
@@ -39,8 +39,27 @@ from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
 
-def flag_churn(rollup: DataFrame, boundary: Column, horizon: int, clock: str) -> DataFrame:
-    """Eligible user-periods with a boolean `churned` column."""
+def period_end(period_start: Column, period: str) -> Column:
+    """First day after the period (exclusive end) as a DATE."""
+    if period == "month":
+        return F.add_months(period_start, 1)
+    return F.date_add(period_start, 7 if period == "week" else 1)
+
+
+def flag_churn(
+    rollup: DataFrame,
+    boundary: Column,
+    horizon: int,
+    clock: str,
+    full_periods_only: bool = False,
+    period: str = "month",
+) -> DataFrame:
+    """Eligible user-periods with a boolean `churned` column.
+
+    full_periods_only=True also drops periods that are only partly mature,
+    i.e. whose last possible day plus the horizon is past the boundary
+    (otherwise the last kept month holds only its early buyers).
+    """
     r = with_next_period(rollup)
     last, nxt = F.col("last_t"), F.col("next_first_t")
     if clock == "date":
@@ -57,6 +76,14 @@ def flag_churn(rollup: DataFrame, boundary: Column, horizon: int, clock: str) ->
         churned = ~(nxt.isNotNull() & (nxt < plus_days(last, horizon + 1)))
     else:
         raise ValueError(f"unknown clock {clock!r}")
+    if full_periods_only:
+        end = period_end(F.col("period_start"), period)
+        if clock == "date":
+            eligible = eligible & (F.date_add(end, horizon - 1) <= boundary)
+        elif clock == "ts":
+            eligible = eligible & (plus_days(end.cast("timestamp_ntz"), horizon) <= boundary)
+        else:
+            eligible = eligible & (end.cast("timestamp_ntz") <= boundary - F.make_dt_interval(F.lit(horizon)))
     return r.filter(eligible).withColumn("churned", churned)
 
 
@@ -107,7 +134,8 @@ def eligible_user_months(t: Tables, p: Params) -> DataFrame:
 def churn_90d_windowed(t: Tables, p: Params) -> DataFrame:
     """Task C: windowed history, boundary = last completed day in the window."""
     _, r = _item_day_rollup(t, p, windowed=True)
-    return churn_counts(flag_churn(r, rollup_boundary(r), p.horizon_days, "date"), p.horizon_days)
+    out = churn_counts(flag_churn(r, rollup_boundary(r), p.horizon_days, "date"), p.horizon_days)
+    return out.orderBy("month")
 
 
 def churn_90d_full_history(t: Tables, p: Params) -> DataFrame:
@@ -130,7 +158,7 @@ def churn_90d_full_history(t: Tables, p: Params) -> DataFrame:
     )
     boundary = rollup_boundary(r_all, "_any_t")
     r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
-    return churn_counts(flag_churn(r, boundary, p.horizon_days, "date"), p.horizon_days)
+    return churn_counts(flag_churn(r, boundary, p.horizon_days, "date"), p.horizon_days).orderBy("month")
 
 
 def orders_in_next_days(t: Tables, p: Params) -> DataFrame:
@@ -160,25 +188,30 @@ def _monthly_order_revenue(orders: DataFrame) -> DataFrame:
     return orders.groupBy(month("order_ts").alias("month")).agg(F.sum("order_value").alias("_revenue"))
 
 
-def churn_vs_revenue(t: Tables, p: Params, horizon: int | None = None) -> DataFrame:
+def churn_vs_revenue(
+    t: Tables, p: Params, horizon: int | None = None, full_months_only: bool = False, sort: bool = True
+) -> DataFrame:
     """Dashboard churn: order timestamps from the start date, boundary = last
     order time, joined to revenue by order month."""
     h = horizon or p.horizon_days
     orders = _orders(t, p, from_start=True)
     r = period_rollup(orders, "user_id", F.col("order_ts"))
-    churn = churn_counts(flag_churn(r, rollup_boundary(r), h, "ts"), h)
+    churn = churn_counts(flag_churn(r, rollup_boundary(r), h, "ts", full_months_only), h)
     # Both sides have one row per month: a fixed, tiny bound.
     rev = _monthly_order_revenue(orders)
-    return churn.join(F.broadcast(rev), "month", "left").select(
-        *churn.columns, money("_revenue").alias("revenue")
-    )
+    out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
+    return ordered(out, "month", on=sort)
 
 
 def churn_30d(t: Tables, p: Params) -> DataFrame:
     return churn_vs_revenue(t, p, horizon=30)
 
 
-def churn_90d_floor_days(t: Tables, p: Params) -> DataFrame:
+def churn_vs_revenue_full_months(t: Tables, p: Params) -> DataFrame:
+    return churn_vs_revenue(t, p, full_months_only=True)
+
+
+def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True) -> DataFrame:
     """Notebook churn: all-history orders, whole elapsed days, midnight
     boundary; joined to item-month revenue like the notebook's chart."""
     items = completed_items(t.order_items, p)
@@ -187,9 +220,8 @@ def churn_90d_floor_days(t: Tables, p: Params) -> DataFrame:
     boundary = midnight(rollup_boundary(r))
     churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days"), p.horizon_days)
     rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))
-    return churn.join(F.broadcast(rev), "month", "left").select(
-        *churn.columns, money("_revenue").alias("revenue")
-    )
+    out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
+    return ordered(out, "month", on=sort)
 
 
 def session_churn(t: Tables, p: Params, horizon: int = 14, period: str = "month") -> DataFrame:
@@ -200,7 +232,7 @@ def session_churn(t: Tables, p: Params, horizon: int = 14, period: str = "month"
     r_all = period_rollup(t.events, "user_id", F.col("created_at"), period=period)
     boundary = rollup_boundary(r_all)
     r = r_all.filter(F.col("user_id").isNotNull())
-    return churn_counts(flag_churn(r, boundary, horizon, "ts"), horizon, label=period, who="users")
+    return churn_counts(flag_churn(r, boundary, horizon, "ts"), horizon, label=period, who="users").orderBy(period)
 
 
 def session_churn_14d(t: Tables, p: Params) -> DataFrame:

@@ -16,7 +16,7 @@ def cohort_retention(t: Tables, p: Params) -> DataFrame:
     active = orders.select("user_id", month("order_ts").alias("month")).distinct()
     # Window over distinct user-months: at most one row per month per user.
     x = active.withColumn("cohort_month", F.min("month").over(Window.partitionBy("user_id")))
-    x = x.withColumn("month_offset", F.months_between("month", "cohort_month").cast("int"))
+    x = x.withColumn("month_offset", F.months_between("month", "cohort_month").cast("long"))
     g = x.groupBy("cohort_month", "month_offset").agg(F.count(F.lit(1)).alias("customers"))
     # One row per month offset per cohort: a small, calendar-bounded window.
     size = F.max(F.when(F.col("month_offset") == 0, F.col("customers"))).over(Window.partitionBy("cohort_month"))
@@ -26,4 +26,4 @@ def cohort_retention(t: Tables, p: Params) -> DataFrame:
         "customers",
         size.alias("cohort_size"),
         ratio("customers", size).alias("retention_rate"),
-    )
+    ).orderBy("cohort_month", "month_offset")

@@ -65,4 +65,4 @@ def experiment_readout(t: Tables, p: Params) -> DataFrame:
         ratio("_rev", "visitors").alias("revenue_per_visitor"),
         ratio("_big", "orders").alias("share_orders_at_or_above_threshold"),
         ratio("_repeaters", "customers").alias("repeat_rate"),
-    )
+    ).orderBy("arm")

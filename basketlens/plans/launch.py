@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import date_lit, day, mean_of, midnight, money, ratio, share_of_rows
+from basketlens.functions import date_lit, day, mean_of, midnight, money, ordered, ratio, share_of_rows
 from basketlens.operators.facts import completed_items, completed_orders, items_in_window, order_totals_by_date
 from basketlens.operators.quantile import exact_quantile
 from basketlens.params import Params
@@ -35,7 +35,7 @@ def launch_impact(t: Tables, p: Params) -> DataFrame:
         F.countDistinct("order_id").alias("completed_orders"),
         money(F.sum("order_value")).alias("total_revenue"),
         ratio(F.sum("order_value"), F.countDistinct("order_id")).alias("aov"),
-    )
+    ).orderBy(*keys)
 
 
 def prepost_orders(t: Tables, p: Params, prefilter: bool = True) -> DataFrame:
@@ -59,7 +59,9 @@ def prepost_orders(t: Tables, p: Params, prefilter: bool = True) -> DataFrame:
     return orders.withColumn("period", label)
 
 
-def prepost_baseline(t: Tables, p: Params, prefilter: bool = True, with_median: bool = True) -> DataFrame:
+def prepost_baseline(
+    t: Tables, p: Params, prefilter: bool = True, with_median: bool = True, sort: bool = True
+) -> DataFrame:
     """Per period: completed orders, mean and median order value and the share
     of orders at or above the threshold."""
     o = prepost_orders(t, p, prefilter)
@@ -69,12 +71,13 @@ def prepost_baseline(t: Tables, p: Params, prefilter: bool = True, with_median:
         share_of_rows(F.col("order_value") >= F.lit(p.threshold)).alias("pct_orders_above_threshold"),
     )
     if not with_median:
-        return base
+        return ordered(base, F.desc("period"), on=sort)
     med = exact_quantile(o, "order_value", 0.5, by=["period"], accuracy=p.quantile_accuracy, out="median_order_value")
     # One row per period on both sides.
-    return base.join(F.broadcast(med), "period", "left").select(
+    out = base.join(F.broadcast(med), "period", "left").select(
         "period", "completed_orders", "avg_order_value", "median_order_value", "pct_orders_above_threshold"
     )
+    return ordered(out, F.desc("period"), on=sort)
 
 
 def prepost_baseline_rollup_first(t: Tables, p: Params) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import bucket, in_days, money, ratio
+from basketlens.functions import bucket, in_days, money, ordered, ratio
 from basketlens.operators.facts import completed_items, items_in_window
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
@@ -25,6 +25,7 @@ def monthly_sales(
     end_date: object = _KEEP,
     grain: str = "month",
     count_star: bool = False,
+    sort: bool = True,
 ) -> DataFrame:
     """Revenue, distinct orders, units and AOV per calendar period.
 
@@ -33,15 +34,18 @@ def monthly_sales(
     start, end = _window(p, end_date)
     items = items_in_window(completed_items(t.order_items, p), start, end)
     units = F.count(F.lit(1)) if count_star else F.count("id")
-    return items.groupBy(bucket("created_at", grain).alias(grain)).agg(
+    out = items.groupBy(bucket("created_at", grain).alias(grain)).agg(
         money(F.sum("sale_price")).alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
         units.alias("units"),
         ratio(F.sum("sale_price"), F.countDistinct("order_id")).alias("aov"),
     )
+    return ordered(out, grain, on=sort)
 
 
-def monthly_funnel(t: Tables, p: Params, end_date: object = _KEEP, grain: str = "month") -> DataFrame:
+def monthly_funnel(
+    t: Tables, p: Params, end_date: object = _KEEP, grain: str = "month", sort: bool = True
+) -> DataFrame:
     """Distinct users with a top-of-funnel event and with a conversion event.
 
     Rolled up to (period, user) with two boolean flags first, then counted:
@@ -57,10 +61,11 @@ def monthly_funnel(t: Tables, p: Params, end_date: object = _KEEP, grain: str =
     )
     per_user = ev.groupBy(grain, "user_id").agg(F.bool_or("_top").alias("_top"), F.bool_or("_conv").alias("_conv"))
     known = F.col("user_id").isNotNull()
-    return per_user.groupBy(grain).agg(
+    out = per_user.groupBy(grain).agg(
         F.count_if(known & F.col("_top")).alias("top_funnel_users"),
         F.count_if(known & F.col("_conv")).alias("converted_users"),
     )
+    return ordered(out, grain, on=sort)
 
 
 def funnel_pivot(t: Tables, p: Params) -> DataFrame:
@@ -80,7 +85,7 @@ def funnel_pivot(t: Tables, p: Params) -> DataFrame:
         "month",
         F.col(p.top_funnel_event).cast("long").alias("top_funnel_users"),
         F.col(p.conversion_event).cast("long").alias("converted_users"),
-    )
+    ).orderBy("month")
 
 
 def monthly_product_metrics(
@@ -91,19 +96,21 @@ def monthly_product_metrics(
     keep_funnel: bool = False,
     rate_name: str = "monthly_conversion_rate",
     count_star: bool = False,
+    sort: bool = True,
 ) -> DataFrame:
     """Sales LEFT JOIN funnel on the period, plus the conversion proxy.
 
     The funnel side has at most one row per calendar period in the data,
     a fixed bound independent of volume, so it is broadcast.
     """
-    sales = monthly_sales(t, p, end_date, grain, count_star)
-    funnel = monthly_funnel(t, p, end_date, grain)
+    sales = monthly_sales(t, p, end_date, grain, count_star, sort=False)
+    funnel = monthly_funnel(t, p, end_date, grain, sort=False)
     j = sales.join(F.broadcast(funnel), grain, "left")
     cols = [grain, "revenue", "orders", "units", "aov"]
     if keep_funnel:
         cols += ["top_funnel_users", "converted_users"]
-    return j.select(*cols, ratio("converted_users", "top_funnel_users").alias(rate_name))
+    out = j.select(*cols, ratio("converted_users", "top_funnel_users").alias(rate_name))
+    return ordered(out, grain, on=sort)
 
 
 def overview_monthly_metrics(t: Tables, p: Params) -> DataFrame:
@@ -115,4 +122,4 @@ def overview_monthly_metrics(t: Tables, p: Params) -> DataFrame:
 
 def latest_months(t: Tables, p: Params, n: int = 5) -> DataFrame:
     """The n most recent months of the open-ended Task A result (`head()`)."""
-    return monthly_product_metrics(t, p, end_date=None).orderBy(F.desc("month")).limit(n)
+    return monthly_product_metrics(t, p, end_date=None, sort=False).orderBy(F.desc("month")).limit(n)

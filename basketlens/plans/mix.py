@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions import money, month, ratio
+from basketlens.functions import money, month, ordered, ratio
 from basketlens.operators.facts import completed_items, completed_orders, items_in_window
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
@@ -63,10 +63,12 @@ def _mix(mus: DataFrame) -> DataFrame:
     )
 
 
-def customer_mix(t: Tables, p: Params, history: str = "window", grain: str = "item") -> DataFrame:
+def customer_mix(
+    t: Tables, p: Params, history: str = "window", grain: str = "item", sort: bool = True
+) -> DataFrame:
     """Task B columns: active/new/returning customers and revenue split."""
     m = _mix(monthly_user_sales(t, p, history, grain))
-    return m.select(
+    out = m.select(
         "month",
         F.col("_active").alias("active_customers"),
         F.col("_new").alias("new_customers"),
@@ -75,6 +77,7 @@ def customer_mix(t: Tables, p: Params, history: str = "window", grain: str = "it
         money("_rev_ret").alias("revenue_returning"),
         ratio("_rev_ret", "_rev").alias("pct_revenue_from_returning"),
     )
+    return ordered(out, "month", on=sort)
 
 
 def customer_mix_windowed(t: Tables, p: Params) -> DataFrame:
@@ -85,11 +88,11 @@ def customer_mix_full_history(t: Tables, p: Params) -> DataFrame:
     return customer_mix(t, p, history="all", grain="item")
 
 
-def customer_mix_order_grain(t: Tables, p: Params, history: str = "window") -> DataFrame:
+def customer_mix_order_grain(t: Tables, p: Params, history: str = "window", sort: bool = True) -> DataFrame:
     """Dashboard form at order grain (history='window' keeps orders from the
     start date on, history='all' is the notebook's all-history variant)."""
     m = _mix(monthly_user_sales(t, p, history, grain="order"))
-    return m.select(
+    out = m.select(
         "month",
         F.col("_active").alias("active_customers"),
         F.col("_new").alias("new_customers"),
@@ -99,6 +102,7 @@ def customer_mix_order_grain(t: Tables, p: Params, history: str = "window") -> D
         money(F.col("_rev_new") + F.col("_rev_ret")).alias("total_revenue"),
         ratio("_rev_ret", "_rev").alias("returning_share"),
     )
+    return ordered(out, "month", on=sort)
 
 
 def mix_full_outer(t: Tables, p: Params) -> DataFrame:
@@ -116,5 +120,5 @@ def mix_full_outer(t: Tables, p: Params) -> DataFrame:
         "month",
         money(F.coalesce("new_revenue", zero)).alias("new_revenue"),
         money(F.coalesce("returning_revenue", zero)).alias("returning_revenue"),
-    )
+    ).orderBy("month")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions import band, day, label_rank, mean_of, plus_days, ratio, share_of_rows
+from basketlens.functions import band, day, label_rank, mean_of, ordered, plus_days, ratio, share_of_rows
 from basketlens.operators.facts import completed_items, completed_orders, max_scalar
 from basketlens.operators.sequence import first_two_orders
 from basketlens.params import Params
@@ -23,7 +23,7 @@ def trailing_orders(t: Tables, p: Params) -> DataFrame:
     return orders.filter(day("order_ts").between(F.add_months(m0, -p.trailing_months), F.date_sub(m0, 1)))
 
 
-def order_value_bands(t: Tables, p: Params) -> DataFrame:
+def order_value_bands(t: Tables, p: Params, sort: bool = True) -> DataFrame:
     """Orders and share per order-value band over the trailing full months.
 
     (user, order) rows are unique after the rollup and an order id belongs
@@ -33,9 +33,10 @@ def order_value_bands(t: Tables, p: Params) -> DataFrame:
     o = trailing_orders(t, p).withColumn("order_band", band("order_value", p.band_edges, labels))
     g = o.groupBy("order_band").agg(F.count(F.lit(1)).alias("orders"))
     # At most len(labels) rows.
-    return g.select(
+    out = g.select(
         "order_band", "orders", ratio("orders", F.sum("orders").over(Window.partitionBy())).alias("order_share")
-    ).orderBy(label_rank("order_band", labels))
+    )
+    return ordered(out, label_rank("order_band", labels), on=sort)
 
 
 def first_orders(t: Tables, p: Params) -> DataFrame:
@@ -44,7 +45,7 @@ def first_orders(t: Tables, p: Params) -> DataFrame:
     return first_two_orders(_all_orders(t, p))
 
 
-def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False) -> DataFrame:
+def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False, sort: bool = True) -> DataFrame:
     """Customers, repeat within the horizon after the first order, and first-order
     AOV per acquisition channel.
 
@@ -59,11 +60,12 @@ def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False) ->
     j = f.join(t.users, f.user_id == t.users.id, "inner")
     repeat = F.col("next_order_ts").isNotNull() & (F.col("next_order_ts") <= plus_days("order_ts", p.horizon_days))
     # One row per user on the left, so COUNT(*) counts distinct customers.
-    return j.groupBy("traffic_source").agg(
+    out = j.groupBy("traffic_source").agg(
         F.count(F.lit(1)).alias("customers"),
         share_of_rows(repeat).alias("repeat_90d"),
         mean_of("order_value").alias("first_order_aov"),
-    ).orderBy(F.desc("customers"))
+    )
+    return ordered(out, F.desc("customers"), "traffic_source", on=sort)
 
 
 def first_order_repeat_censored(t: Tables, p: Params) -> DataFrame:

@@ -46,7 +46,7 @@ def analysis_context(t: Tables, p: Params) -> DataFrame:
     """Four metric/value rows, notebook semantics (midnight cutoffs)."""
     orders = completed_orders(completed_items(t.order_items, p))
     d = _dates(orders)
-    churn_max = churn_90d_floor_days(t, p).agg(F.max("month").alias("_churn_max"))
+    churn_max = churn_90d_floor_days(t, p, sort=False).agg(F.max("month").alias("_churn_max"))
     cutoff = d.select(midnight("snapshotDate").alias("_cut"))
     buyers = (
         orders.crossJoin(F.broadcast(cutoff))  # one row
@@ -66,7 +66,7 @@ def analysis_context(t: Tables, p: Params) -> DataFrame:
 
 
 def _churn_since_start(t: Tables, p: Params) -> DataFrame:
-    c = churn_90d_floor_days(t, p)
+    c = churn_90d_floor_days(t, p, sort=False)
     return c.filter(F.col("month") >= date_lit(p.start_date)) if p.start_date else c
 
 
@@ -99,7 +99,7 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
         F.sum(F.when(F.col("month").between(first12, lfm), F.col("rev"))).cast("double").alias("revenueLast12Months"),
     )
 
-    mix = customer_mix_order_grain(t, p, history="all")
+    mix = customer_mix_order_grain(t, p, history="all", sort=False)
     in_start_year = (F.col("month") >= start) & (F.year("month") == F.year(start))
     mix_kpis = mix.crossJoin(F.broadcast(d)).agg(
         _pct_mean(in_start_year, "returning_share").alias("returningShare2020Avg"),
@@ -110,7 +110,7 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
     )
 
     rate = f"churn_rate_{p.horizon_days}d"
-    churn_all = churn_90d_floor_days(t, p)
+    churn_all = churn_90d_floor_days(t, p, sort=False)
     churn = _churn_since_start(t, p)
     c1 = churn.agg(
         F.round(F.avg(F.col(rate) * 100), STAT_DIGITS).alias("avgChurnSince2020"),
@@ -126,7 +126,7 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
     snap = customer_snapshot(t, p).agg(F.count(F.lit(1)).alias("purchasingCustomersSnapshot"))
     thr = revenue_threshold(t, p).select(F.col("high_value_threshold").alias("highValueThreshold"))
     near = p.band_labels[2]
-    bands = order_value_bands(t, p).agg(
+    bands = order_value_bands(t, p, sort=False).agg(
         F.coalesce(F.max(F.when(F.col("order_band") == near, F.col("orders"))), F.lit(0)).alias("orders75to99Last12m"),
         F.round(F.max(F.when(F.col("order_band") == near, F.col("order_share") * 100)), STAT_DIGITS).alias(
             "orders75to99ShareLast12m"
@@ -193,7 +193,7 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
     )
     lfm = s.select("lastFullMonth")
 
-    mix = customer_mix_order_grain(t, p, history="all").crossJoin(F.broadcast(lfm))
+    mix = customer_mix_order_grain(t, p, history="all", sort=False).crossJoin(F.broadcast(lfm))
     mix = mix.filter((F.col("month") >= date_lit(p.start_date)) & (F.col("month") <= F.col("lastFullMonth")))
     mix_arr = mix.agg(
         _array(mix, F.col("month"), [
@@ -211,14 +211,14 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
             r4(f"churn_rate_{h}d").alias(f"churn_rate_{h}d"), r2("revenue").alias("revenue"),
         ]).alias("monthlyChurn")
     )
-    seg = segment_split(t, p)
+    seg = segment_split(t, p, sort=False)
     seg_arr = seg.agg(
         _array(seg, label_rank("segment", SEGMENTS), [
             F.col("segment"), F.col("customers"), r4("revenue").alias("revenue"), r4("avg_orders").alias("avg_orders"),
             r4("customer_share").alias("customer_share"), r4("revenue_share").alias("revenue_share"),
         ]).alias("segmentSummary")
     )
-    ship = prepost_baseline(t, p)
+    ship = prepost_baseline(t, p, sort=False)
     ship_arr = ship.agg(
         _array(ship, F.when(F.col("period") == p.baseline_post_label, 0).otherwise(1), [
             F.col("period"), F.col("completed_orders"), r4("avg_order_value").alias("avg_order_value"),
@@ -226,14 +226,14 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
             r4("median_order_value").alias("median_order_value"),
         ]).alias("shippingBaseline")
     )
-    ch = first_order_repeat_by_channel(t, p)
+    ch = first_order_repeat_by_channel(t, p, sort=False)
     ch_arr = ch.agg(
         _array(ch, -F.col("customers"), [
             F.col("traffic_source"), F.col("customers"), r4("repeat_90d").alias("repeat_90d"),
             r4("first_order_aov").alias("first_order_aov"),
         ]).alias("channelRepeat")
     )
-    bands = order_value_bands(t, p)
+    bands = order_value_bands(t, p, sort=False)
     band_arr = bands.agg(
         _array(bands, label_rank("order_band", p.band_labels), [
             F.col("order_band"), F.col("orders"), r4("order_share").alias("share"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions import day, label_rank, money, ordered_case, ratio
+from basketlens.functions import day, label_rank, midnight, money, ordered, ordered_case, ratio
 from basketlens.operators.facts import completed_items, completed_orders, max_scalar
 from basketlens.operators.quantile import exact_quantile
 from basketlens.params import Params
@@ -20,23 +20,38 @@ def snapshot_date(orders: DataFrame):
     return F.date_sub(F.trunc(max_scalar(orders, F.col("order_ts")), "MM"), 1)
 
 
-def _snapshot(t: Tables, p: Params) -> DataFrame:
+def _snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:
+    """Per customer: first/last purchase, lifetime orders and revenue, recency.
+
+    clock='date' (dashboard SQL): orders up to the whole snapshot day,
+    calendar dates, recency in calendar days.
+    clock='ts' (notebook): orders up to midnight of the snapshot day, order
+    timestamps, recency in whole elapsed days.
+    """
     orders = completed_orders(completed_items(t.order_items, p))
     snap = snapshot_date(orders)
-    o = orders.withColumn("d", day("order_ts")).filter(F.col("d") <= snap)
     # One row per (user, order) after the rollup, so COUNT(*) per user is the
     # distinct order count without a distinct aggregation.
+    if clock == "date":
+        o = orders.withColumn("d", day("order_ts")).filter(F.col("d") <= snap)
+        recency = F.datediff(snap, F.max("d")).cast("long")
+    elif clock == "ts":
+        cut = midnight(snap)
+        o = orders.withColumn("d", F.col("order_ts")).filter(F.col("d") <= cut)
+        recency = F.timestamp_diff("DAY", F.max("d"), cut)
+    else:
+        raise ValueError(f"unknown clock {clock!r}")
     return o.groupBy("user_id").agg(
         F.min("d").alias("first_purchase_date"),
         F.max("d").alias("last_purchase_date"),
         F.count(F.lit(1)).alias("lifetime_orders"),
         F.sum("order_value").alias("lifetime_revenue"),
-        F.datediff(snap, F.max("d")).alias("recency_days"),
+        recency.alias("recency_days"),
     )
 
 
-def customer_snapshot(t: Tables, p: Params) -> DataFrame:
-    s = _snapshot(t, p)
+def customer_snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:
+    s = _snapshot(t, p, clock)
     return s.select(
         "user_id",
         "first_purchase_date",
@@ -47,17 +62,18 @@ def customer_snapshot(t: Tables, p: Params) -> DataFrame:
     )
 
 
-def revenue_threshold(t: Tables, p: Params) -> DataFrame:
+def revenue_threshold(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     """Exact 75th percentile (interpolated) of lifetime revenue; one row."""
     return exact_quantile(
-        _snapshot(t, p), "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
+        _snapshot(t, p, clock), "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
         out="high_value_threshold",
     )
 
 
-def segmented_customers(t: Tables, p: Params) -> DataFrame:
-    s = _snapshot(t, p)
-    thr = revenue_threshold(t, p)
+def segmented_customers(t: Tables, p: Params, clock: str = "date") -> DataFrame:
+    s = _snapshot(t, p, clock)
+    thr = exact_quantile(s, "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
+                         out="high_value_threshold")
     # `thr` is exactly one row.
     x = s.crossJoin(F.broadcast(thr))
     recent = F.col("recency_days") <= p.recent_days
@@ -71,20 +87,25 @@ def segmented_customers(t: Tables, p: Params) -> DataFrame:
     return x.withColumn("segment", ordered_case(F.col("recency_days"), rules, "Dormant"))
 
 
-def segment_split(t: Tables, p: Params) -> DataFrame:
+def segment_split(t: Tables, p: Params, clock: str = "date", sort: bool = True) -> DataFrame:
     """Customers, revenue, mean orders and shares per segment, in report order."""
-    g = segmented_customers(t, p).groupBy("segment").agg(
+    g = segmented_customers(t, p, clock).groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("lifetime_revenue").alias("_rev"),
         ratio(F.sum("lifetime_orders"), F.count(F.lit(1))).alias("avg_orders"),
     )
     # At most five rows: the grand-total window runs on a tiny relation.
     total = Window.partitionBy()
-    return g.select(
+    out = g.select(
         "segment",
         "customers",
         money("_rev").alias("revenue"),
         "avg_orders",
         ratio("customers", F.sum("customers").over(total)).alias("customer_share"),
         ratio("_rev", F.sum("_rev").over(total)).alias("revenue_share"),
-    ).orderBy(label_rank("segment", SEGMENTS))
+    )
+    return ordered(out, label_rank("segment", SEGMENTS), on=sort)
+
+
+def segment_split_notebook(t: Tables, p: Params) -> DataFrame:
+    return segment_split(t, p, clock="ts")

@@ -56,10 +56,24 @@ def thelook_tables(spark: SparkSession, directory: str) -> Tables:
     reference's `tz_convert(None)` / `CAST(.. AS TIMESTAMP)`.
     """
 
-    def ntz(c: str):
-        return F.col(c).cast("timestamp_ntz").alias(c)
+    # pandas/pyarrow extracts store tz-aware times as TIMESTAMP(NANOS), which
+    # Spark reads only as raw nanoseconds since the epoch.
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    items_df = load(spark, directory, "order_items")
+    events_df = load(spark, directory, "events")
 
-    items = load(spark, directory, "order_items").select(
+    def ntz_of(df: DataFrame):
+        types = dict(df.dtypes)
+
+        def ntz(c: str):
+            if types[c] == "bigint":
+                return F.timestamp_micros(F.expr(f"`{c}` div 1000")).cast("timestamp_ntz").alias(c)
+            return F.col(c).cast("timestamp_ntz").alias(c)
+
+        return ntz
+
+    ntz = ntz_of(items_df)
+    items = items_df.select(
         F.col("id").cast("long").alias("id"),
         F.col("order_id").cast("long").alias("order_id"),
         F.col("user_id").cast("long").alias("user_id"),
@@ -68,8 +82,8 @@ def thelook_tables(spark: SparkSession, directory: str) -> Tables:
         ntz("returned_at"),
         "sale_price",
     )
-    events = load(spark, directory, "events").select(
-        F.col("user_id").cast("long").alias("user_id"), ntz("created_at"), "event_type"
+    events = events_df.select(
+        F.col("user_id").cast("long").alias("user_id"), ntz_of(events_df)("created_at"), "event_type"
     )
     users = load(spark, directory, "users").select(F.col("id").cast("long").alias("id"), "traffic_source")
     return Tables(items, events, users)
