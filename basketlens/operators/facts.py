@@ -73,6 +73,21 @@ def period_rollup(
     )
 
 
+def user_month_orders(orders: DataFrame) -> DataFrame:
+    """The shared order-grain (user, month) rollup: first and last order time,
+    summed value and order count.
+
+    Mix, churn, cohorts and monthly order revenue all read this one relation;
+    with identical plans Spark reuses its exchange when they run together.
+    """
+    return orders.groupBy("user_id", month("order_ts").alias("period_start")).agg(
+        F.min("order_ts").alias("first_t"),
+        F.max("order_ts").alias("last_t"),
+        F.sum("order_value").alias("value"),
+        F.count(F.lit(1)).alias("n_orders"),
+    )
+
+
 def max_scalar(df: DataFrame, c: Column) -> Column:
     """One-value scalar subquery (e.g. the data boundary). Spark runs it once
     and inlines the value; no join with a one-row relation is needed."""

@@ -33,6 +33,7 @@ from basketlens.operators.facts import (
     items_in_window,
     max_scalar,
     period_rollup,
+    user_month_orders,
 )
 from basketlens.operators.sequence import with_next_period
 from basketlens.params import Params
@@ -184,8 +185,8 @@ def _orders(t: Tables, p: Params, from_start: bool) -> DataFrame:
     return completed_orders(items)
 
 
-def _monthly_order_revenue(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(month("order_ts").alias("month")).agg(F.sum("order_value").alias("_revenue"))
+def _monthly_order_revenue(um: DataFrame) -> DataFrame:
+    return um.groupBy(F.col("period_start").alias("month")).agg(F.sum("value").alias("_revenue"))
 
 
 def churn_vs_revenue(
@@ -194,11 +195,10 @@ def churn_vs_revenue(
     """Dashboard churn: order timestamps from the start date, boundary = last
     order time, joined to revenue by order month."""
     h = horizon or p.horizon_days
-    orders = _orders(t, p, from_start=True)
-    r = period_rollup(orders, "user_id", F.col("order_ts"))
+    r = user_month_orders(_orders(t, p, from_start=True))
     churn = churn_counts(flag_churn(r, rollup_boundary(r), h, "ts", full_months_only), h)
     # Both sides have one row per month: a fixed, tiny bound.
-    rev = _monthly_order_revenue(orders)
+    rev = _monthly_order_revenue(r)
     out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     return ordered(out, "month", on=sort)
 
@@ -215,8 +215,7 @@ def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True) -> DataFrame:
     """Notebook churn: all-history orders, whole elapsed days, midnight
     boundary; joined to item-month revenue like the notebook's chart."""
     items = completed_items(t.order_items, p)
-    orders = completed_orders(items)
-    r = period_rollup(orders, "user_id", F.col("order_ts"))
+    r = user_month_orders(completed_orders(items))
     boundary = midnight(rollup_boundary(r))
     churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days"), p.horizon_days)
     rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))

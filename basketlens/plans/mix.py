@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import money, month, ordered, ratio
-from basketlens.operators.facts import completed_items, completed_orders, items_in_window
+from basketlens.operators.facts import completed_items, completed_orders, items_in_window, user_month_orders
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
@@ -33,10 +33,8 @@ def monthly_user_sales(t: Tables, p: Params, history: str = "window", grain: str
         )
     if grain == "order":
         items = _items(t, p, history, end=False)
-        orders = completed_orders(items)
-        return orders.groupBy("user_id", month("order_ts").alias("month")).agg(
-            F.sum("order_value").alias("user_revenue")
-        )
+        um = user_month_orders(completed_orders(items))
+        return um.select("user_id", F.col("period_start").alias("month"), F.col("value").alias("user_revenue"))
     raise ValueError(f"grain must be 'item' or 'order', got {grain!r}")
 
 
