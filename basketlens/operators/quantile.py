@@ -2,17 +2,22 @@
 
 Spark's exact `percentile` keeps every distinct value of a group in one
 aggregation buffer; for a global quantile over all customers that buffer
-lands in one task. This operator stays exact and distributed:
+lands in one task. This operator stays exact and distributed, in two passes
+over the input:
 
-1. per group: row count and two sketch values that bracket the wanted rank
-   (`percentile_approx`, mergeable, bounded memory);
-2. per group: how many values fall below / at-or-under the bracket; if the
-   sketch bracket misses the rank (only possible for tiny groups) the
-   bracket side is dropped;
-3. only the distinct values inside the bracket (about 6n/accuracy of them)
-   are counted and ordered, and the two values around the rank are
+1. per group: row count n and two sketch values lo, hi bracketing the
+   wanted rank (`percentile_approx`: mergeable, bounded memory). The sketch
+   returns values whose rank is within n/accuracy of the asked rank, so asking
+   at q -/+ 3/accuracy brackets rank q*(n-1) whenever n >= accuracy. Smaller
+   groups are not bracketed (all of their < 2*accuracy values are kept);
+2. one aggregation counts the values below lo and above hi and the distinct
+   values inside [lo, hi] (about 6n/accuracy of them); a window over only
+   those rows gives running ranks, and the two values around the rank are
    interpolated: lo + (hi - lo) * frac with frac = pos - floor(pos),
    pos = q * (n - 1).
+
+If a bracket ever missed the rank the query fails with an error instead of
+returning a wrong value.
 """
 
 from __future__ import annotations
@@ -42,68 +47,57 @@ def exact_quantile(
     lo_q, hi_q = max(0.0, q - 3 * eps), min(1.0, q + 3 * eps)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
-    grouped = base.groupBy(*by) if by else base.groupBy()
-    stats = grouped.agg(
+    stats = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("_br"),
     )
+    bracketed = F.col("_n") >= accuracy
     pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
     stats = stats.select(
         *by,
-        F.col("_br")[0].alias("_lo"),
-        F.col("_br")[1].alias("_hi"),
+        F.when(bracketed, F.col("_br")[0]).alias("_lo"),
+        F.when(bracketed, F.col("_br")[1]).alias("_hi"),
         F.floor(pos).cast("long").alias("_i"),
         F.ceil(pos).cast("long").alias("_j"),
         (pos - F.floor(pos)).alias("_frac"),
     )
 
-    checks = (
-        _attach(base, stats, by)
-        .groupBy(*by)
-        .agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_c_lo"),
-            F.count_if(F.col("_v") <= F.col("_hi")).alias("_c_hi"),
-            F.first("_lo").alias("_lo"),
-            F.first("_hi").alias("_hi"),
-            F.first("_i").alias("_i"),
-            F.first("_j").alias("_j"),
-            F.first("_frac").alias("_frac"),
-        )
+    side = (
+        F.when(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo")), F.lit(-1))
+        .when(F.col("_hi").isNotNull() & (F.col("_v") > F.col("_hi")), F.lit(1))
+        .otherwise(F.lit(0))
     )
-    lo_ok = F.col("_c_lo") <= F.col("_i")
-    hi_ok = F.col("_c_hi") >= F.col("_j") + 1
-    bounds = checks.select(
-        *by,
-        F.when(lo_ok, F.col("_lo")).alias("_lo"),
-        F.when(hi_ok, F.col("_hi")).alias("_hi"),
-        F.when(lo_ok, F.col("_c_lo")).otherwise(F.lit(0)).alias("_below"),
-        "_i",
-        "_j",
-        "_frac",
-    )
-
-    inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (
-        F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
-    )
-    cand = (
-        _attach(base, bounds, by)
-        .filter(inside)
-        .groupBy(*by, "_v")
+    counted = (
+        _attach(base, stats, by)
+        .withColumn("_side", side)
+        .groupBy(*by, "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_bv"))
         .agg(
             F.count(F.lit(1)).alias("_cnt"),
-            F.first("_below").alias("_below"),
             F.first("_i").alias("_i"),
             F.first("_j").alias("_j"),
             F.first("_frac").alias("_frac"),
         )
     )
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_v")
-    cand = cand.withColumn(
-        "_cum", F.col("_below") + F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    picked = cand.groupBy(*by).agg(
-        F.min(F.when(F.col("_cum") > F.col("_i"), F.col("_v"))).alias("_vi"),
-        F.min(F.when(F.col("_cum") > F.col("_j"), F.col("_v"))).alias("_vj"),
+    # Rows per group: the in-bracket distinct values plus at most two
+    # below/above rows, so this window is bounded by the bracket width.
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_side", "_bv")
+    ranked = counted.withColumn("_cum", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = F.col("_side") == 0
+    picked = ranked.groupBy(*by).agg(
+        F.min(F.when(inside & (F.col("_cum") > F.col("_i")), F.col("_bv"))).alias("_vi"),
+        F.min(F.when(inside & (F.col("_cum") > F.col("_j")), F.col("_bv"))).alias("_vj"),
+        F.coalesce(F.sum(F.when(F.col("_side") == -1, F.col("_cnt"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(F.col("_side") <= 0, F.col("_cnt"))), F.lit(0)).alias("_upto"),
+        F.first("_i").alias("_i"),
+        F.first("_j").alias("_j"),
         F.first("_frac").alias("_frac"),
     )
-    return picked.select(*by, (F.col("_vi") + (F.col("_vj") - F.col("_vi")) * F.col("_frac")).alias(out))
+    ok = (F.col("_below") <= F.col("_i")) & (F.col("_upto") >= F.col("_j") + 1)
+    result = F.col("_vi") + (F.col("_vj") - F.col("_vi")) * F.col("_frac")
+    return picked.select(
+        *by,
+        F.when(ok, result)
+        .otherwise(F.raise_error(F.lit("exact_quantile: sketch bracket missed the rank")))
+        .cast("double")
+        .alias(out),
+    )
