@@ -121,6 +121,8 @@ METRICS: dict[str, Metric] = {
     "churn_90d_floor_days": churn.churn_90d_floor_days,
     "churn_30d": churn.churn_30d,
     "churn_vs_revenue_full_months": churn.churn_vs_revenue_full_months,
+    "churn_vs_revenue_lead_join": lambda t, p: churn.churn_vs_revenue(t, p, method="lead_join"),
+    "churn_90d_full_history_band": lambda t, p: churn.churn_90d_full_history(t, p, method="band"),
     "session_churn_14d": churn.session_churn_14d,
     "session_churn_1d": churn.session_churn_1d,
     "revenue_churn_corr": report.revenue_churn_corr,

@@ -35,7 +35,7 @@ from basketlens.operators.facts import (
     period_rollup,
     user_month_orders,
 )
-from basketlens.operators.sequence import with_next_period
+from basketlens.operators.sequence import sequence, with_next_period
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
@@ -139,9 +139,13 @@ def churn_90d_windowed(t: Tables, p: Params) -> DataFrame:
     return out.orderBy("month")
 
 
-def churn_90d_full_history(t: Tables, p: Params) -> DataFrame:
+def churn_90d_full_history(t: Tables, p: Params, method: str = "lead") -> DataFrame:
     """Notebook Task C: all history, boundary = last day over all items of any status.
 
+    method='lead' (default) reads the next active month's first day;
+    method='band' is the original formulation: count the user's orders in
+    (last, last + h] with the band join and flag "any order" (MAX(CASE ..)).
+
     One scan: the (user, month) rollup runs over every item, with the
     completed-only first/last days as conditional aggregates and the
     any-status maximum alongside; user-months without completed items are
@@ -159,7 +163,21 @@ def churn_90d_full_history(t: Tables, p: Params) -> DataFrame:
     )
     boundary = rollup_boundary(r_all, "_any_t")
     r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
-    return churn_counts(flag_churn(r, boundary, p.horizon_days, "date"), p.horizon_days).orderBy("month")
+    if method == "lead":
+        flagged = flag_churn(r, boundary, p.horizon_days, "date")
+    elif method == "band":
+        q = r.filter(date_plus("last_t", p.horizon_days) <= boundary).select(
+            "user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_day")
+        )
+        items = completed_items(t.order_items, p)
+        facts = items.select("user_id", day("created_at").alias("fact_day"), F.col("order_id").alias("fact_id"))
+        counted = count_following(q, facts, p.horizon_days, "_n")
+        flagged = counted.groupBy("user_id", F.col("month").alias("period_start")).agg(
+            F.max(F.when(F.col("_n") > 0, 1).otherwise(0)).alias("_has_future")
+        ).withColumn("churned", F.col("_has_future") == 0)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return churn_counts(flagged, p.horizon_days).orderBy("month")
 
 
 def orders_in_next_days(t: Tables, p: Params) -> DataFrame:
@@ -189,14 +207,44 @@ def _monthly_order_revenue(um: DataFrame) -> DataFrame:
     return um.groupBy(F.col("period_start").alias("month")).agg(F.sum("value").alias("_revenue"))
 
 
+def _lead_join_flags(orders: DataFrame, r: DataFrame, boundary: Column, h: int) -> DataFrame:
+    """The dashboard's own formulation: LEAD of the order time per user, joined
+    back to each eligible user-month on (user, last order time); a user-month
+    is churned when any joined row has no next order within h days. The
+    per-order LEAD comes from the skew-safe two-level `sequence`."""
+    seq = sequence(orders, "user_id", "order_ts", "order_id").select(
+        "user_id", F.col("order_ts").alias("last_t"), F.col("next_ts")
+    )
+    el = r.filter(plus_days("last_t", h) <= boundary).select("user_id", "period_start", "last_t")
+    j = el.join(seq, ["user_id", "last_t"], "left")
+    churn_row = F.col("next_ts").isNull() | (F.col("next_ts") > plus_days("last_t", h))
+    return j.groupBy("user_id", "period_start").agg(F.bool_or(churn_row).alias("churned"))
+
+
 def churn_vs_revenue(
-    t: Tables, p: Params, horizon: int | None = None, full_months_only: bool = False, sort: bool = True
+    t: Tables,
+    p: Params,
+    horizon: int | None = None,
+    full_months_only: bool = False,
+    sort: bool = True,
+    method: str = "rollup",
 ) -> DataFrame:
     """Dashboard churn: order timestamps from the start date, boundary = last
-    order time, joined to revenue by order month."""
+    order time, joined to revenue by order month.
+
+    method='rollup' (default) reads the next active month's first order;
+    method='lead_join' joins user-months back to the per-order LEAD sequence.
+    """
     h = horizon or p.horizon_days
-    r = user_month_orders(_orders(t, p, from_start=True))
-    churn = churn_counts(flag_churn(r, rollup_boundary(r), h, "ts", full_months_only), h)
+    orders = _orders(t, p, from_start=True)
+    r = user_month_orders(orders)
+    if method == "rollup":
+        flagged = flag_churn(r, rollup_boundary(r), h, "ts", full_months_only)
+    elif method == "lead_join" and not full_months_only:
+        flagged = _lead_join_flags(orders, r, rollup_boundary(r), h)
+    else:
+        raise ValueError(f"unsupported method {method!r}")
+    churn = churn_counts(flagged, h)
     # Both sides have one row per month: a fixed, tiny bound.
     rev = _monthly_order_revenue(r)
     out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
