@@ -7,6 +7,9 @@ reuses identical exchanges instead of rescanning.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import bucket, day, in_days, month
 from basketlens.params import Params
+from basketlens.session import ensure_checkpoint_dir
+from basketlens.sources.tables import Tables
 
 
 def completed_items(order_items: DataFrame, p: Params) -> DataFrame:
@@ -88,6 +93,43 @@ def user_month_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def materialize(t: Tables, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Compute a rollup once per input bundle, write it as a Parquet table in
+    the session's shared checkpoint folder (`spark.checkpoint.dir`) and read
+    it back.
+
+    Used for per-user rollups that several branches of a plan read (a data
+    boundary subquery, the main pipeline, the sections of a report). Catalyst
+    prunes each branch's aggregates differently, so without this each branch
+    would scan and shuffle the fact table again. The folder is shared, reliable
+    storage, so this also cuts lineage: a lost executor does not force a
+    recomputation from the raw scan.
+    """
+    if key not in t.memo:
+        df = build()
+        spark = df.sparkSession
+        path = os.path.join(ensure_checkpoint_dir(spark), "basketlens-tables", uuid.uuid4().hex)
+        # One job writes the rollup (an eager RDD checkpoint would compute it
+        # twice: once to count, once to save); reading it back gives the
+        # planner exact file sizes for later join decisions.
+        df.write.mode("overwrite").parquet(path)
+        t.memo[key] = spark.read.parquet(path)
+    return t.memo[key]
+
+
+def order_month_rollup(t: Tables, p: Params, from_start: bool) -> DataFrame:
+    """Materialized `user_month_orders` over completed orders (optionally only
+    items from the start date on)."""
+
+    def build() -> DataFrame:
+        items = completed_items(t.order_items, p)
+        if from_start:
+            items = items_in_window(items, p.start_date, None)
+        return user_month_orders(completed_orders(items))
+
+    return materialize(t, ("order_month_rollup", p, from_start), build)
+
+
 def max_scalar(df: DataFrame, c: Column) -> Column:
     """One-value scalar subquery (e.g. the data boundary). Spark runs it once
     and inlines the value; no join with a one-row relation is needed."""

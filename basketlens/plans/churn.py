@@ -31,9 +31,10 @@ from basketlens.operators.facts import (
     completed_items,
     completed_orders,
     items_in_window,
+    materialize,
     max_scalar,
+    order_month_rollup,
     period_rollup,
-    user_month_orders,
 )
 from basketlens.operators.sequence import sequence, with_next_period
 from basketlens.params import Params
@@ -54,9 +55,14 @@ def flag_churn(
     clock: str,
     full_periods_only: bool = False,
     period: str = "month",
+    keep_all: bool = False,
 ) -> DataFrame:
     """Eligible user-periods with a boolean `churned` column.
 
+    keep_all=True keeps every user-period with an `eligible` flag instead of
+    filtering, so measures over all user-periods (revenue) can be summed in
+    the same aggregation.
+
     full_periods_only=True also drops periods that are only partly mature,
     i.e. whose last possible day plus the horizon is past the boundary
     (otherwise the last kept month holds only its early buyers).
@@ -85,6 +91,8 @@ def flag_churn(
             eligible = eligible & (plus_days(end.cast("timestamp_ntz"), horizon) <= boundary)
         else:
             eligible = eligible & (end.cast("timestamp_ntz") <= boundary - F.make_dt_interval(F.lit(horizon)))
+    if keep_all:
+        return r.withColumn("eligible", eligible).withColumn("churned", eligible & churned)
     return r.filter(eligible).withColumn("churned", churned)
 
 
@@ -103,7 +111,8 @@ def _item_day_rollup(t: Tables, p: Params, windowed: bool) -> tuple[DataFrame, D
     items = completed_items(t.order_items, p)
     if windowed:
         items = items_in_window(items, p.start_date, p.end_date)
-    return items, period_rollup(items, "user_id", day("created_at"))
+    r = materialize(t, ("item_day_rollup", p, windowed), lambda: period_rollup(items, "user_id", day("created_at")))
+    return items, r
 
 
 def user_month_activity(t: Tables, p: Params) -> DataFrame:
@@ -152,14 +161,16 @@ def churn_90d_full_history(t: Tables, p: Params, method: str = "lead") -> DataFr
     dropped after the boundary is read."""
     done = (F.col("status") == p.completed_status) & F.col("returned_at").isNull()
     d = day("created_at")
-    r_all = (
-        t.order_items.withColumn("_d", d)
+    r_all = materialize(
+        t,
+        ("item_day_rollup_any_status", p),
+        lambda: t.order_items.withColumn("_d", d)
         .groupBy("user_id", month("_d").alias("period_start"))
         .agg(
             F.min(F.when(done, F.col("_d"))).alias("first_t"),
             F.max(F.when(done, F.col("_d"))).alias("last_t"),
             F.max("_d").alias("_any_t"),
-        )
+        ),
     )
     boundary = rollup_boundary(r_all, "_any_t")
     r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
@@ -236,18 +247,31 @@ def churn_vs_revenue(
     method='lead_join' joins user-months back to the per-order LEAD sequence.
     """
     h = horizon or p.horizon_days
-    orders = _orders(t, p, from_start=True)
-    r = user_month_orders(orders)
+    r = order_month_rollup(t, p, from_start=True)
     if method == "rollup":
-        flagged = flag_churn(r, rollup_boundary(r), h, "ts", full_months_only)
+        # Churn counts and order-month revenue in one aggregation over the
+        # rollup: every user-month adds revenue, eligible ones add counts.
+        flagged = flag_churn(r, rollup_boundary(r), h, "ts", full_months_only, keep_all=True)
+        g = flagged.groupBy(F.col("period_start").alias("month")).agg(
+            F.count_if("eligible").alias("active_customers"),
+            F.count_if("churned").alias(f"churned_customers_{h}d"),
+            F.sum("value").alias("_revenue"),
+        )
+        out = g.filter(F.col("active_customers") > 0).select(
+            "month",
+            "active_customers",
+            f"churned_customers_{h}d",
+            ratio(f"churned_customers_{h}d", "active_customers").alias(f"churn_rate_{h}d"),
+            money("_revenue").alias("revenue"),
+        )
     elif method == "lead_join" and not full_months_only:
-        flagged = _lead_join_flags(orders, r, rollup_boundary(r), h)
+        orders = _orders(t, p, from_start=True)
+        churn = churn_counts(_lead_join_flags(orders, r, rollup_boundary(r), h), h)
+        # Both sides have one row per month: a fixed, tiny bound.
+        rev = _monthly_order_revenue(r)
+        out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     else:
         raise ValueError(f"unsupported method {method!r}")
-    churn = churn_counts(flagged, h)
-    # Both sides have one row per month: a fixed, tiny bound.
-    rev = _monthly_order_revenue(r)
-    out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     return ordered(out, "month", on=sort)
 
 
@@ -263,7 +287,7 @@ def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True) -> DataFrame:
     """Notebook churn: all-history orders, whole elapsed days, midnight
     boundary; joined to item-month revenue like the notebook's chart."""
     items = completed_items(t.order_items, p)
-    r = user_month_orders(completed_orders(items))
+    r = order_month_rollup(t, p, from_start=False)
     boundary = midnight(rollup_boundary(r))
     churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days"), p.horizon_days)
     rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))
@@ -276,7 +300,9 @@ def session_churn(t: Tables, p: Params, horizon: int = 14, period: str = "month"
     no event within `horizon` days after their last event in the period."""
     # One scan: anonymous events form their own (null-user) group, which
     # still counts for the boundary and is dropped afterwards.
-    r_all = period_rollup(t.events, "user_id", F.col("created_at"), period=period)
+    r_all = materialize(
+        t, ("event_rollup", period), lambda: period_rollup(t.events, "user_id", F.col("created_at"), period=period)
+    )
     boundary = rollup_boundary(r_all)
     r = r_all.filter(F.col("user_id").isNotNull())
     return churn_counts(flag_churn(r, boundary, horizon, "ts"), horizon, label=period, who="users").orderBy(period)

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import ratio
-from basketlens.operators.facts import completed_items, completed_orders, user_month_orders
+from basketlens.operators.facts import order_month_rollup
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
 
 def cohort_retention(t: Tables, p: Params) -> DataFrame:
-    orders = completed_orders(completed_items(t.order_items, p))
-    active = user_month_orders(orders).select("user_id", F.col("period_start").alias("month"))
+    active = order_month_rollup(t, p, from_start=False).select("user_id", F.col("period_start").alias("month"))
     # Window over distinct user-months: at most one row per month per user.
     x = active.withColumn("cohort_month", F.min("month").over(Window.partitionBy("user_id")))
     x = x.withColumn("month_offset", F.months_between("month", "cohort_month").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import money, month, ordered, ratio
-from basketlens.operators.facts import completed_items, completed_orders, items_in_window, user_month_orders
+from basketlens.operators.facts import completed_items, items_in_window, order_month_rollup
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
@@ -32,8 +32,9 @@ def monthly_user_sales(t: Tables, p: Params, history: str = "window", grain: str
             F.sum("sale_price").alias("user_revenue")
         )
     if grain == "order":
-        items = _items(t, p, history, end=False)
-        um = user_month_orders(completed_orders(items))
+        if history not in ("window", "all"):
+            raise ValueError(f"history must be 'window' or 'all', got {history!r}")
+        um = order_month_rollup(t, p, from_start=history == "window")
         return um.select("user_id", F.col("period_start").alias("month"), F.col("value").alias("user_revenue"))
     raise ValueError(f"grain must be 'item' or 'order', got {grain!r}")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import band, day, label_rank, mean_of, ordered, plus_days, ratio, share_of_rows
-from basketlens.operators.facts import completed_items, completed_orders, max_scalar
+from basketlens.operators.facts import completed_items, completed_orders, max_scalar, order_month_rollup
 from basketlens.operators.sequence import first_two_orders
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
@@ -16,10 +16,16 @@ def _all_orders(t: Tables, p: Params) -> DataFrame:
     return completed_orders(completed_items(t.order_items, p))
 
 
+def _last_order_ts(t: Tables, p: Params):
+    """Latest completed order time, read from the shared (materialized)
+    user-month rollup instead of a second pass over the orders."""
+    return max_scalar(order_month_rollup(t, p, from_start=False), F.col("last_t"))
+
+
 def trailing_orders(t: Tables, p: Params) -> DataFrame:
     """Orders whose day lies in the last `trailing_months` full months."""
     orders = _all_orders(t, p)
-    m0 = F.trunc(max_scalar(orders, F.col("order_ts")), "MM")
+    m0 = F.trunc(_last_order_ts(t, p), "MM")
     return orders.filter(day("order_ts").between(F.add_months(m0, -p.trailing_months), F.date_sub(m0, 1)))
 
 
@@ -56,7 +62,7 @@ def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False, so
     orders = _all_orders(t, p)
     f = first_two_orders(orders)
     if censor:
-        f = f.filter(plus_days("order_ts", p.horizon_days) <= max_scalar(orders, F.col("order_ts")))
+        f = f.filter(plus_days("order_ts", p.horizon_days) <= _last_order_ts(t, p))
     j = f.join(t.users, f.user_id == t.users.id, "inner")
     repeat = F.col("next_order_ts").isNotNull() & (F.col("next_order_ts") <= plus_days("order_ts", p.horizon_days))
     # One row per user on the left, so COUNT(*) counts distinct customers.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import day, label_rank, midnight, money, ordered, ordered_case, ratio
-from basketlens.operators.facts import completed_items, completed_orders, max_scalar
+from basketlens.operators.facts import completed_items, completed_orders, materialize, max_scalar, order_month_rollup
 from basketlens.operators.quantile import exact_quantile
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
@@ -28,26 +28,41 @@ def _snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     clock='ts' (notebook): orders up to midnight of the snapshot day, order
     timestamps, recency in whole elapsed days.
     """
-    orders = completed_orders(completed_items(t.order_items, p))
-    snap = snapshot_date(orders)
-    # One row per (user, order) after the rollup, so COUNT(*) per user is the
-    # distinct order count without a distinct aggregation.
+    return materialize(t, ("snapshot", p, clock), lambda: _build_snapshot(t, p, clock))
+
+
+def _build_snapshot(t: Tables, p: Params, clock: str) -> DataFrame:
     if clock == "date":
-        o = orders.withColumn("d", day("order_ts")).filter(F.col("d") <= snap)
-        recency = F.datediff(snap, F.max("d")).cast("long")
-    elif clock == "ts":
-        cut = midnight(snap)
-        o = orders.withColumn("d", F.col("order_ts")).filter(F.col("d") <= cut)
-        recency = F.timestamp_diff("DAY", F.max("d"), cut)
-    else:
-        raise ValueError(f"unknown clock {clock!r}")
-    return o.groupBy("user_id").agg(
-        F.min("d").alias("first_purchase_date"),
-        F.max("d").alias("last_purchase_date"),
-        F.count(F.lit(1)).alias("lifetime_orders"),
-        F.sum("order_value").alias("lifetime_revenue"),
-        recency.alias("recency_days"),
-    )
+        # The snapshot day is the last day of a month, so "order day <= snapshot"
+        # is "order month < latest month": the shared user-month rollup suffices.
+        um = order_month_rollup(t, p, from_start=False)
+        m0 = F.trunc(max_scalar(um, F.col("last_t")), "MM")
+        snap = F.date_sub(m0, 1)
+        last = F.max(day("last_t"))
+        return (
+            um.filter(F.col("period_start") < m0)
+            .groupBy("user_id")
+            .agg(
+                F.min(day("first_t")).alias("first_purchase_date"),
+                last.alias("last_purchase_date"),
+                F.sum("n_orders").alias("lifetime_orders"),
+                F.sum("value").alias("lifetime_revenue"),
+                F.datediff(snap, last).cast("long").alias("recency_days"),
+            )
+        )
+    if clock == "ts":
+        orders = completed_orders(completed_items(t.order_items, p))
+        cut = midnight(snapshot_date(orders))
+        o = orders.filter(F.col("order_ts") <= cut)
+        # One row per (user, order): COUNT(*) per user is the distinct order count.
+        return o.groupBy("user_id").agg(
+            F.min("order_ts").alias("first_purchase_date"),
+            F.max("order_ts").alias("last_purchase_date"),
+            F.count(F.lit(1)).alias("lifetime_orders"),
+            F.sum("order_value").alias("lifetime_revenue"),
+            F.timestamp_diff("DAY", F.max("order_ts"), cut).alias("recency_days"),
+        )
+    raise ValueError(f"unknown clock {clock!r}")
 
 
 def customer_snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:

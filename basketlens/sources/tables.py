@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,9 @@ class Tables:
     order_items: DataFrame
     events: DataFrame
     users: DataFrame
+    # Materialized intermediates shared by every metric built on this bundle
+    # (see `operators.facts.materialize`).
+    memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     def register(self, prefix: str = "") -> None:
         """Expose the inputs as temp views (warehouse-style names)."""
