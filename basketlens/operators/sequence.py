@@ -8,7 +8,7 @@ operators never do that. Instead they:
   so per-user windows work on a bounded number of rows;
 * use `row_number() <= k`, which Spark turns into a partial
   WindowGroupLimit that keeps only k rows per user *before* the shuffle;
-* for a full sequence, rank inside (user, day) buckets and add per-bucket
+* for a full sequence, rank inside (user, hour) buckets and add per-bucket
   offsets computed over the bounded bucket rollup.
 """
 
@@ -56,15 +56,18 @@ def first_two_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def sequence(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
+def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, bucket: str = "hour") -> DataFrame:
     """Full per-key sequence: adds `order_rank` (ROW_NUMBER by ts, tiebreak)
     and `next_ts` (LEAD of ts in that order) to every row.
 
-    Two-level plan: rank and lead inside (key, day) buckets, then a window
-    over the per-(key, day) rollup (at most one row per day) gives each
-    bucket its rank offset and the first time of the next bucket.
+    Two-level plan: rank and lead inside (key, time bucket) groups, then a
+    window over the per-(key, bucket) rollup (one row per active bucket)
+    gives each bucket its rank offset and the first time of the next bucket.
+    Hour buckets keep both levels small even for a customer with a large
+    share of all orders: a day of that customer's orders is split 24 ways,
+    and the bucket level holds at most 24 rows per active day.
     """
-    b = df.withColumn("_b", day(ts))
+    b = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)) if bucket != "day" else day(ts))
     w_in = Window.partitionBy(key, "_b").orderBy(ts, tiebreak)
     local = b.withColumn("_rn", F.row_number().over(w_in)).withColumn("_next", F.lead(ts).over(w_in))
     stats = b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_first"))
