@@ -1,8 +1,8 @@
 """Named queries: one callable per metric or primitive, (spark, sf_dir) -> DataFrame.
 
 Each reads the driver tables through the fixture views with fixture
-parameters. The same metric functions run on thelook-layout data with
-`thelook_tables` and `reference_params`.
+parameters. The same metric functions run on order_items/events/users files with
+`shop_tables` and `default_params`.
 """
 
 from __future__ import annotations

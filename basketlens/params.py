@@ -92,8 +92,8 @@ class Params:
         return self.experiment_end or self.post_end
 
 
-def reference_params() -> Params:
-    """Parameters of the original analysis over the thelook tables."""
+def default_params() -> Params:
+    """Parameters of the original analysis over order_items/events/users tables."""
     return Params()
 
 

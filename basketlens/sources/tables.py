@@ -52,8 +52,8 @@ class Tables:
         self.users.createOrReplaceTempView(f"{prefix}users")
 
 
-def thelook_tables(spark: SparkSession, directory: str) -> Tables:
-    """Inputs in the original thelook layout (order_items/events/users.parquet).
+def shop_tables(spark: SparkSession, directory: str) -> Tables:
+    """Inputs in the original file layout (order_items/events/users.parquet).
 
     Timezone-aware timestamps become UTC wall-clock TIMESTAMP_NTZ, like the
     reference's `tz_convert(None)` / `CAST(.. AS TIMESTAMP)`.

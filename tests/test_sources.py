@@ -1,17 +1,17 @@
-"""Sources: the original thelook file layout, the fixture views, export."""
+"""Sources: the order_items/events/users file layout, the fixture views, export."""
 
 from datetime import date
 
 import pandas as pd
 
 from __spark_entry__ import entry, queries
-from basketlens.params import reference_params
+from basketlens.params import default_params
 from basketlens.plans import churn, metrics
-from basketlens.sources import export_tables, fixture_tables, thelook_tables
+from basketlens.sources import export_tables, fixture_tables, shop_tables
 from tests.conftest import SF001
 
 
-def _write_thelook(tmp_path):
+def _write_shop_layout(tmp_path):
     utc = lambda s: pd.Timestamp(s, tz="UTC")
     items = pd.DataFrame(
         {
@@ -40,10 +40,10 @@ def _write_thelook(tmp_path):
     return str(tmp_path)
 
 
-def test_thelook_layout_monthly_metrics(spark, tmp_path):
-    t = thelook_tables(spark, _write_thelook(tmp_path))
+def test_shop_layout_monthly_metrics(spark, tmp_path):
+    t = shop_tables(spark, _write_shop_layout(tmp_path))
     assert dict(t.order_items.dtypes)["created_at"] == "timestamp_ntz"
-    m = {r["month"]: r for r in metrics.monthly_product_metrics(t, reference_params()).collect()}
+    m = {r["month"]: r for r in metrics.monthly_product_metrics(t, default_params()).collect()}
     mar, apr = m[date(2021, 3, 1)], m[date(2021, 4, 1)]
     # Cancelled and returned items are excluded; the order spanning midnight
     # of a month end counts in both months.
@@ -51,7 +51,7 @@ def test_thelook_layout_monthly_metrics(spark, tmp_path):
     assert (apr["orders"], apr["units"]) == (1, 1)
     # 1 known 'department' user, 1 'purchase' user in March (null user ignored).
     assert mar["monthly_conversion_rate"] == 1.0
-    c = churn.churn_vs_revenue(t, reference_params()).collect()
+    c = churn.churn_vs_revenue(t, default_params()).collect()
     assert c == []  # nothing has 90 days of history before the boundary
 
 
