@@ -16,6 +16,12 @@ def _money_label(x: float) -> str:
     return f"${x:g}"
 
 
+# The defaults below (dates, threshold 100, bands 50/75/100/125,
+# 90/180-day recency, 3/2 order cuts, 0.75 quantile, event names 'department'
+# and 'purchase', status 'Complete', and the period labels) are the ones the
+# original analysis uses; every one can be overridden.
+
+
 @dataclass(frozen=True)
 class Params:
     # Analysis window (inclusive calendar days). end_date=None means open-ended.

@@ -1 +1,7 @@
-"""Incremental (Structured Streaming) forms of the batch metrics."""
+"""Streaming forms of the metrics.
+
+Intentionally empty: the original analysis is batch only (no stream source,
+watermark, state or late-data handling), and every metric here is a batch
+DataFrame plan. Maturity censoring of recent months (the churn boundary) is
+the batch counterpart of a watermark.
+"""
