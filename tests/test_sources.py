@@ -84,3 +84,11 @@ def test_every_query_builds_at_smoke_scale(spark):
             continue
         df = q(spark, SF001)
         assert df.schema is not None and len(df.columns) > 0, name
+
+
+def test_cli_lists_metrics(capsys):
+    from basketlens.__main__ import main
+
+    assert main(["list"]) == 0
+    names = capsys.readouterr().out.split()
+    assert "segment_split" in names and "dashboard_payload" in names
