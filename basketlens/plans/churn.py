@@ -128,9 +128,9 @@ def data_boundary(t: Tables, p: Params) -> DataFrame:
 
 
 def rollup_boundary(rollup: DataFrame, c: str = "last_t") -> Column:
-    """Data boundary (latest activity) read from the per-user rollup, whose
-    shuffle the main plan already runs, so the subquery reuses that exchange
-    instead of scanning the source again."""
+    """Data boundary (latest activity) as a scalar subquery over the
+    materialized per-user rollup: a scan of one small column, not another
+    pass over the fact table."""
     return max_scalar(rollup, F.col(c))
 
 
