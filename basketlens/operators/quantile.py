@@ -96,7 +96,9 @@ def exact_quantile(
     result = F.col("_vi") + (F.col("_vj") - F.col("_vi")) * F.col("_frac")
     return picked.select(
         *by,
-        F.when(ok, result)
+        # No values at all (an empty input's single global row): NULL, like SQL.
+        F.when(F.col("_i").isNull() | (F.col("_i") < 0), F.lit(None))
+        .when(ok, result)
         .otherwise(F.raise_error(F.lit("exact_quantile: sketch bracket missed the rank")))
         .cast("double")
         .alias(out),

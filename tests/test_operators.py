@@ -114,3 +114,12 @@ def test_count_following_handles_long_horizons(spark):
     assert r == 2
     r = count_following(q, f, 119, "n").collect()[0]["n"]
     assert r == 1
+
+
+def test_exact_quantile_of_nothing_is_null(spark):
+    empty = spark.createDataFrame([], "g long, v double")
+    assert exact_quantile(empty, "v", 0.75).collect()[0]["quantile"] is None
+    assert exact_quantile(empty, "v", 0.0).collect()[0]["quantile"] is None
+    assert exact_quantile(empty, "v", 0.5, by=["g"]).collect() == []
+    one = spark.createDataFrame([(1, 3.5)], "g long, v double")
+    assert exact_quantile(one, "v", 0.75).collect()[0]["quantile"] == 3.5
