@@ -130,6 +130,14 @@ def order_month_rollup(t: Tables, p: Params, from_start: bool) -> DataFrame:
     return materialize(t, ("order_month_rollup", p, from_start), build)
 
 
+def row_scalar(df: DataFrame) -> Column:
+    """The single row of a one-row DataFrame as a struct-valued scalar
+    subquery: `row_scalar(stats)["field"]`. Every field read refers to the
+    same subquery, which Spark evaluates once; no join is needed to attach a
+    one-row relation to another."""
+    return df.select(F.struct(*df.columns).alias("_row")).scalar()
+
+
 def max_scalar(df: DataFrame, c: Column) -> Column:
     """One-value scalar subquery (e.g. the data boundary). Spark runs it once
     and inlines the value; no join with a one-row relation is needed."""

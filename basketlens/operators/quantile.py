@@ -27,10 +27,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.operators.facts import row_scalar
+
 
 def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    # With no keys the stats side is exactly one row: broadcasting it is safe.
-    return df.join(stats, by, "inner") if by else df.crossJoin(F.broadcast(stats))
+    """Per-group statistics next to each value: an equi join on the group
+    keys, or, for a global quantile, the one stats row as a scalar subquery."""
+    if by:
+        return df.join(stats, by, "inner")
+    row = row_scalar(stats)
+    return df.select("*", *[row[c].alias(c) for c in stats.columns])
 
 
 def exact_quantile(

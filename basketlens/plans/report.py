@@ -1,8 +1,9 @@
 """Analysis context, summary KPIs and the dashboard payload document.
 
 Every piece here is a one-row aggregate or a relation bounded by the
-calendar (one row per month) or by a fixed label set, so the final
-document is assembled with one-row cross joins and small `collect_list`s.
+calendar (one row per month) or by a fixed label set. One-row pieces enter
+the final row as scalar subqueries (no joins), and the document's arrays
+are small `collect_list`s over those bounded relations.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import date_lit, label_rank, midnight, month
-from basketlens.operators.facts import completed_items, completed_orders
+from basketlens.operators.facts import completed_items, completed_orders, max_scalar, order_month_rollup, row_scalar
 from basketlens.params import Params
 from basketlens.plans.churn import churn_90d_floor_days
 from basketlens.plans.launch import prepost_baseline
@@ -31,11 +32,14 @@ CONTEXT_LABELS = [
 STAT_DIGITS = 10
 
 
-def _dates(orders: DataFrame) -> DataFrame:
-    """One row: datasetMaxDate, lastFullMonth, snapshotDate."""
-    mx = orders.agg(F.to_date(F.max("order_ts")).alias("datasetMaxDate"))
-    lfm = F.add_months(F.trunc("datasetMaxDate", "MM"), -1)
-    return mx.select("datasetMaxDate", lfm.alias("lastFullMonth"), F.last_day(lfm).alias("snapshotDate"))
+def _date_context(t: Tables, p: Params) -> dict[str, Column]:
+    """Latest completed-order day, last full month and its last day.
+
+    One scalar subquery over the materialized user-month rollup; every use of
+    these columns refers to it, so it is evaluated once per query."""
+    mx = F.to_date(max_scalar(order_month_rollup(t, p, from_start=False), F.col("last_t")))
+    lfm = F.add_months(F.trunc(mx, "MM"), -1)
+    return {"datasetMaxDate": mx, "lastFullMonth": lfm, "snapshotDate": F.last_day(lfm)}
 
 
 def _iso(c: str | Column) -> Column:
@@ -44,25 +48,17 @@ def _iso(c: str | Column) -> Column:
 
 def analysis_context(t: Tables, p: Params) -> DataFrame:
     """Four metric/value rows, notebook semantics (midnight cutoffs)."""
+    dc = _date_context(t, p)
     orders = completed_orders(completed_items(t.order_items, p))
-    d = _dates(orders)
-    churn_max = churn_90d_floor_days(t, p, sort=False).agg(F.max("month").alias("_churn_max"))
-    cutoff = d.select(midnight("snapshotDate").alias("_cut"))
-    buyers = (
-        orders.crossJoin(F.broadcast(cutoff))  # one row
-        .filter(F.col("order_ts") <= F.col("_cut"))
-        .agg(F.countDistinct("user_id").alias("_buyers"))
+    churn_max = churn_90d_floor_days(t, p, sort=False).agg(F.max("month")).scalar()
+    buyers = orders.filter(F.col("order_ts") <= midnight(dc["snapshotDate"])).agg(
+        F.countDistinct("user_id").alias("_buyers")
     )
-    row = d.crossJoin(churn_max).crossJoin(buyers)
-    pairs = [
-        (CONTEXT_LABELS[0], _iso("datasetMaxDate")),
-        (CONTEXT_LABELS[1], _iso("snapshotDate")),
-        (CONTEXT_LABELS[2], _iso("_churn_max")),
-        (CONTEXT_LABELS[3], F.format_number("_buyers", 0)),
-    ]
-    args = ", ".join(f"'{label}', {name}" for label, name in zip(CONTEXT_LABELS, ["_a", "_b", "_c", "_d"]))
-    tmp = row.select(*[v.alias(n) for (_, v), n in zip(pairs, ["_a", "_b", "_c", "_d"])])
-    return tmp.selectExpr(f"stack(4, {args}) AS (metric, value)")
+    names = ["_a", "_b", "_c", "_d"]
+    values = [_iso(dc["datasetMaxDate"]), _iso(dc["snapshotDate"]), _iso(churn_max), F.format_number("_buyers", 0)]
+    row = buyers.select(*[v.alias(n) for v, n in zip(values, names)])
+    args = ", ".join(f"'{label}', {name}" for label, name in zip(CONTEXT_LABELS, names))
+    return row.selectExpr(f"stack(4, {args}) AS (metric, value)")
 
 
 def _churn_since_start(t: Tables, p: Params) -> DataFrame:
@@ -80,84 +76,89 @@ def revenue_churn_corr(t: Tables, p: Params) -> DataFrame:
     )
 
 
-def _pct_mean(cond: Column, c: str) -> Column:
-    return F.round(F.avg(F.when(cond, F.col(c) * 100)), STAT_DIGITS)
+def _pct_mean(cond: str, c: str) -> Column:
+    return F.round(F.avg(F.when(F.col(cond), F.col(c) * 100)), STAT_DIGITS)
 
 
 def summary_kpis(t: Tables, p: Params) -> DataFrame:
     """The 17 summary scalars (shares in percent, as in the published summary)."""
-    items = completed_items(t.order_items, p)
-    orders = completed_orders(items)
-    d = _dates(orders)
-    lfm = F.col("lastFullMonth")
+    dc = _date_context(t, p)
+    lfm = dc["lastFullMonth"]
     first12 = F.add_months(lfm, -(p.trailing_months - 1))
     start = date_lit(p.start_date)
+    in_last12 = F.col("month").between(first12, lfm)
 
-    rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("rev"))
-    rev_kpis = rev.crossJoin(F.broadcast(d)).agg(
-        F.sum(F.when(F.col("month") >= start, F.col("rev"))).cast("double").alias("totalRevenueSince2020"),
-        F.sum(F.when(F.col("month").between(first12, lfm), F.col("rev"))).cast("double").alias("revenueLast12Months"),
+    # Item-month revenue: the base one-row relation of the summary.
+    rev = completed_items(t.order_items, p).groupBy(month("created_at").alias("month")).agg(
+        F.sum("sale_price").alias("rev")
+    )
+    base = rev.withColumn("_since", F.col("month") >= start).withColumn("_last12", in_last12).agg(
+        F.sum(F.when(F.col("_since"), F.col("rev"))).cast("double").alias("totalRevenueSince2020"),
+        F.sum(F.when(F.col("_last12"), F.col("rev"))).cast("double").alias("revenueLast12Months"),
     )
 
     mix = customer_mix_order_grain(t, p, history="all", sort=False)
-    in_start_year = (F.col("month") >= start) & (F.year("month") == F.year(start))
-    mix_kpis = mix.crossJoin(F.broadcast(d)).agg(
-        _pct_mean(in_start_year, "returning_share").alias("returningShare2020Avg"),
-        _pct_mean(F.col("month").between(first12, lfm), "returning_share").alias("returningShareLatest12mAvg"),
-        F.round(F.max(F.when(F.col("month") == lfm, F.col("returning_share") * 100)), STAT_DIGITS).alias(
-            "latestReturningShare"
-        ),
+    mix_row = row_scalar(
+        mix.select(
+            "month",
+            "returning_share",
+            ((F.col("month") >= start) & (F.year("month") == F.year(start))).alias("_y0"),
+            in_last12.alias("_last12"),
+            (F.col("month") == lfm).alias("_lfm"),
+        ).agg(
+            _pct_mean("_y0", "returning_share").alias("y0"),
+            _pct_mean("_last12", "returning_share").alias("last12"),
+            F.round(F.max(F.when(F.col("_lfm"), F.col("returning_share") * 100)), STAT_DIGITS).alias("latest"),
+        )
     )
 
     rate = f"churn_rate_{p.horizon_days}d"
-    churn_all = churn_90d_floor_days(t, p, sort=False)
     churn = _churn_since_start(t, p)
-    c1 = churn.agg(
-        F.round(F.avg(F.col(rate) * 100), STAT_DIGITS).alias("avgChurnSince2020"),
-        F.round(F.min(F.col(rate) * 100), STAT_DIGITS).alias("minChurnSince2020"),
-        F.min(rate).alias("_min_rate"),
-        F.round(F.corr(rate, "revenue"), STAT_DIGITS).alias("revenueChurnCorrelation"),
-    )
-    c2 = churn.crossJoin(F.broadcast(c1.select("_min_rate"))).agg(
-        F.min(F.when(F.col(rate) == F.col("_min_rate"), F.col("month"))).alias("minChurnMonth")
-    )
-    mature = churn_all.agg(F.max("month").alias("lastMatureChurnMonth"))
-
-    snap = customer_snapshot(t, p).agg(F.count(F.lit(1)).alias("purchasingCustomersSnapshot"))
-    thr = revenue_threshold(t, p).select(F.col("high_value_threshold").alias("highValueThreshold"))
+    churn_row = row_scalar(
+        churn.agg(
+            F.round(F.avg(F.col(rate) * 100), STAT_DIGITS).alias("avg"),
+            F.round(F.min(F.col(rate) * 100), STAT_DIGITS).alias("min"),
+            F.min(rate).alias("min_rate"),
+            F.round(F.corr(rate, "revenue"), STAT_DIGITS).alias("corr"),
+        )
+    )
+    min_month = churn.filter(F.col(rate) == churn_row["min_rate"]).agg(F.min("month")).scalar()
+    mature = churn_90d_floor_days(t, p, sort=False).agg(F.max("month")).scalar()
+
+    customers = customer_snapshot(t, p).agg(F.count(F.lit(1))).scalar()
+    threshold = revenue_threshold(t, p).scalar()
     near = p.band_labels[2]
-    bands = order_value_bands(t, p, sort=False).agg(
-        F.coalesce(F.max(F.when(F.col("order_band") == near, F.col("orders"))), F.lit(0)).alias("orders75to99Last12m"),
-        F.round(F.max(F.when(F.col("order_band") == near, F.col("order_share") * 100)), STAT_DIGITS).alias(
-            "orders75to99ShareLast12m"
-        ),
-    )
-    row = d
-    for part in (mature, rev_kpis, mix_kpis, c1, c2, snap, thr, bands):
-        row = row.crossJoin(part)  # every part is exactly one row
-    return row.select(
-        "datasetMaxDate",
-        "lastFullMonth",
-        "snapshotDate",
-        "lastMatureChurnMonth",
+    band_row = row_scalar(
+        order_value_bands(t, p, sort=False).agg(
+            F.coalesce(F.max(F.when(F.col("order_band") == near, F.col("orders"))), F.lit(0)).alias("orders"),
+            F.round(F.max(F.when(F.col("order_band") == near, F.col("order_share") * 100)), STAT_DIGITS).alias(
+                "share"
+            ),
+        )
+    )
+    return base.select(
+        dc["datasetMaxDate"].alias("datasetMaxDate"),
+        lfm.alias("lastFullMonth"),
+        dc["snapshotDate"].alias("snapshotDate"),
+        mature.alias("lastMatureChurnMonth"),
         "totalRevenueSince2020",
         "revenueLast12Months",
-        "returningShare2020Avg",
-        "returningShareLatest12mAvg",
-        "latestReturningShare",
-        "avgChurnSince2020",
-        "minChurnSince2020",
-        "minChurnMonth",
-        "revenueChurnCorrelation",
-        "purchasingCustomersSnapshot",
-        "highValueThreshold",
-        "orders75to99Last12m",
-        "orders75to99ShareLast12m",
-    )
-
-
-def _array(df: DataFrame, key: Column, fields: list[Column]) -> Column:
-    """Bounded relation -> sorted array<struct> column of a one-row aggregate."""
+        mix_row["y0"].alias("returningShare2020Avg"),
+        mix_row["last12"].alias("returningShareLatest12mAvg"),
+        mix_row["latest"].alias("latestReturningShare"),
+        churn_row["avg"].alias("avgChurnSince2020"),
+        churn_row["min"].alias("minChurnSince2020"),
+        min_month.alias("minChurnMonth"),
+        churn_row["corr"].alias("revenueChurnCorrelation"),
+        customers.alias("purchasingCustomersSnapshot"),
+        threshold.alias("highValueThreshold"),
+        band_row["orders"].alias("orders75to99Last12m"),
+        band_row["share"].alias("orders75to99ShareLast12m"),
+    )
+
+
+def _array(key: Column, fields: list[Column]) -> Column:
+    """Bounded relation -> sorted array<struct> (aggregate expression)."""
     return F.transform(
         F.sort_array(F.collect_list(F.struct(key.alias("_k"), *fields))), lambda s: s.dropFields("_k")
     )
@@ -169,83 +170,75 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
     r2 = lambda c: F.round(F.col(c), 2)
     r3 = lambda c: F.round(F.col(c), 3)
     r4 = lambda c: F.round(F.col(c), 4)
-    summary = s.select(
-        F.struct(
-            _iso("datasetMaxDate").alias("datasetMaxDate"),
-            _iso("lastFullMonth").alias("lastFullMonth"),
-            _iso("snapshotDate").alias("snapshotDate"),
-            _iso("lastMatureChurnMonth").alias("lastMatureChurnMonth"),
-            r2("totalRevenueSince2020").alias("totalRevenueSince2020"),
-            r2("revenueLast12Months").alias("revenueLast12Months"),
-            r2("returningShare2020Avg").alias("returningShare2020Avg"),
-            r2("returningShareLatest12mAvg").alias("returningShareLatest12mAvg"),
-            r2("latestReturningShare").alias("latestReturningShare"),
-            r2("avgChurnSince2020").alias("avgChurnSince2020"),
-            r2("minChurnSince2020").alias("minChurnSince2020"),
-            _iso("minChurnMonth").alias("minChurnMonth"),
-            r3("revenueChurnCorrelation").alias("revenueChurnCorrelation"),
-            F.col("purchasingCustomersSnapshot"),
-            r2("highValueThreshold").alias("highValueThreshold"),
-            F.col("orders75to99Last12m"),
-            r2("orders75to99ShareLast12m").alias("orders75to99ShareLast12m"),
-        ).alias("summary"),
-        "lastFullMonth",
-    )
-    lfm = s.select("lastFullMonth")
+    summary = F.struct(
+        _iso("datasetMaxDate").alias("datasetMaxDate"),
+        _iso("lastFullMonth").alias("lastFullMonth"),
+        _iso("snapshotDate").alias("snapshotDate"),
+        _iso("lastMatureChurnMonth").alias("lastMatureChurnMonth"),
+        r2("totalRevenueSince2020").alias("totalRevenueSince2020"),
+        r2("revenueLast12Months").alias("revenueLast12Months"),
+        r2("returningShare2020Avg").alias("returningShare2020Avg"),
+        r2("returningShareLatest12mAvg").alias("returningShareLatest12mAvg"),
+        r2("latestReturningShare").alias("latestReturningShare"),
+        r2("avgChurnSince2020").alias("avgChurnSince2020"),
+        r2("minChurnSince2020").alias("minChurnSince2020"),
+        _iso("minChurnMonth").alias("minChurnMonth"),
+        r3("revenueChurnCorrelation").alias("revenueChurnCorrelation"),
+        F.col("purchasingCustomersSnapshot"),
+        r2("highValueThreshold").alias("highValueThreshold"),
+        F.col("orders75to99Last12m"),
+        r2("orders75to99ShareLast12m").alias("orders75to99ShareLast12m"),
+    )
+    lfm = _date_context(t, p)["lastFullMonth"]
+    h = p.horizon_days
 
-    mix = customer_mix_order_grain(t, p, history="all", sort=False).crossJoin(F.broadcast(lfm))
-    mix = mix.filter((F.col("month") >= date_lit(p.start_date)) & (F.col("month") <= F.col("lastFullMonth")))
+    mix = customer_mix_order_grain(t, p, history="all", sort=False)
+    mix = mix.withColumn("_in", (F.col("month") >= date_lit(p.start_date)) & (F.col("month") <= lfm)).filter("_in")
     mix_arr = mix.agg(
-        _array(mix, F.col("month"), [
+        _array(F.col("month"), [
             _iso("month").alias("month"), r2("new_revenue").alias("new_revenue"),
             r2("returning_revenue").alias("returning_revenue"), r2("total_revenue").alias("total_revenue"),
             r4("returning_share").alias("returning_share"),
-        ]).alias("monthlyMix")
-    )
-    churn = _churn_since_start(t, p)
-    h = p.horizon_days
-    churn_arr = churn.agg(
-        _array(churn, F.col("month"), [
+        ])
+    ).scalar()
+    churn_arr = _churn_since_start(t, p).agg(
+        _array(F.col("month"), [
             _iso("month").alias("month"), F.col("active_customers"),
             F.col(f"churned_customers_{h}d").alias(f"churned_customers_{h}d"),
             r4(f"churn_rate_{h}d").alias(f"churn_rate_{h}d"), r2("revenue").alias("revenue"),
-        ]).alias("monthlyChurn")
-    )
-    seg = segment_split(t, p, sort=False)
-    seg_arr = seg.agg(
-        _array(seg, label_rank("segment", SEGMENTS), [
+        ])
+    ).scalar()
+    seg_arr = segment_split(t, p, sort=False).agg(
+        _array(label_rank("segment", SEGMENTS), [
             F.col("segment"), F.col("customers"), r4("revenue").alias("revenue"), r4("avg_orders").alias("avg_orders"),
             r4("customer_share").alias("customer_share"), r4("revenue_share").alias("revenue_share"),
-        ]).alias("segmentSummary")
-    )
-    ship = prepost_baseline(t, p, sort=False)
-    ship_arr = ship.agg(
-        _array(ship, F.when(F.col("period") == p.baseline_post_label, 0).otherwise(1), [
+        ])
+    ).scalar()
+    ship_arr = prepost_baseline(t, p, sort=False).agg(
+        _array(F.when(F.col("period") == p.baseline_post_label, 0).otherwise(1), [
             F.col("period"), F.col("completed_orders"), r4("avg_order_value").alias("avg_order_value"),
             r4("pct_orders_above_threshold").alias("pct_orders_above_100"),
             r4("median_order_value").alias("median_order_value"),
-        ]).alias("shippingBaseline")
-    )
-    ch = first_order_repeat_by_channel(t, p, sort=False)
-    ch_arr = ch.agg(
-        _array(ch, -F.col("customers"), [
+        ])
+    ).scalar()
+    ch_arr = first_order_repeat_by_channel(t, p, sort=False).agg(
+        _array(-F.col("customers"), [
             F.col("traffic_source"), F.col("customers"), r4("repeat_90d").alias("repeat_90d"),
             r4("first_order_aov").alias("first_order_aov"),
-        ]).alias("channelRepeat")
-    )
-    bands = order_value_bands(t, p, sort=False)
-    band_arr = bands.agg(
-        _array(bands, label_rank("order_band", p.band_labels), [
+        ])
+    ).scalar()
+    band_arr = order_value_bands(t, p, sort=False).agg(
+        _array(label_rank("order_band", p.band_labels), [
             F.col("order_band"), F.col("orders"), r4("order_share").alias("share"),
-        ]).alias("orderBandSummary")
-    )
-    doc = summary.drop("lastFullMonth")
-    for part in (mix_arr, churn_arr, seg_arr, ship_arr, ch_arr, band_arr):
-        doc = doc.crossJoin(part)  # one row each
-    return doc.select(
-        F.to_json(
-            F.struct("summary", "monthlyMix", "monthlyChurn", "segmentSummary", "shippingBaseline", "channelRepeat",
-                     "orderBandSummary")
-        ).alias("payload")
-    )
-
+        ])
+    ).scalar()
+    doc = F.struct(
+        summary.alias("summary"),
+        mix_arr.alias("monthlyMix"),
+        churn_arr.alias("monthlyChurn"),
+        seg_arr.alias("segmentSummary"),
+        ship_arr.alias("shippingBaseline"),
+        ch_arr.alias("channelRepeat"),
+        band_arr.alias("orderBandSummary"),
+    )
+    return s.select(F.to_json(doc).alias("payload"))

@@ -89,8 +89,8 @@ def segmented_customers(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     s = _snapshot(t, p, clock)
     thr = exact_quantile(s, "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
                          out="high_value_threshold")
-    # `thr` is exactly one row.
-    x = s.crossJoin(F.broadcast(thr))
+    # The one-row threshold enters as a scalar subquery.
+    x = s.withColumn("high_value_threshold", thr.scalar())
     recent = F.col("recency_days") <= p.recent_days
     rules = [
         (recent & (F.col("lifetime_orders") >= p.champion_min_orders)
