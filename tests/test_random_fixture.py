@@ -22,10 +22,11 @@ def _write(tmp, name, df, schema):
     pq.write_table(pa.Table.from_pandas(df, schema=schema, preserve_index=False), f"{tmp}/{name}.parquet")
 
 
-def generate(tmp, seed: int, mode: str = "normal") -> None:
+def generate(tmp, seed: int, mode: str = "normal", n_orders: int = 900, n_cust: int = 60) -> None:
     """mode: 'normal'; 'no_completed' (no order is finished); 'tiny' (one order)."""
     rng = np.random.default_rng(seed)
-    n_cust, n_orders = (1, 1) if mode == "tiny" else (60, 900)
+    if mode == "tiny":
+        n_cust, n_orders = 1, 1
     segments = np.array(["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
     cust = pd.DataFrame(
         {
