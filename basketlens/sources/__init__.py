@@ -2,4 +2,4 @@
 
 from basketlens.sources.export import export_tables, write_parquet  # noqa: F401
 from basketlens.sources.fixture import fixture_tables  # noqa: F401
-from basketlens.sources.tables import Tables, load, scan_projected, shop_tables  # noqa: F401
+from basketlens.sources.tables import Tables, catalog_tables, load, scan_projected, shop_tables  # noqa: F401

@@ -90,3 +90,17 @@ def shop_tables(spark: SparkSession, directory: str) -> Tables:
     )
     users = load(spark, directory, "users").select(F.col("id").cast("long").alias("id"), "traffic_source")
     return Tables(items, events, users)
+
+
+def catalog_tables(spark: SparkSession, database: str | None = None, prefix: str = "") -> Tables:
+    """Inputs from the session catalog by name (`spark.table`): warehouse
+    tables `<database>.order_items` / `events` / `users`, or temp views."""
+
+    def name(n: str) -> str:
+        return f"{database}.{prefix}{n}" if database else f"{prefix}{n}"
+
+    return Tables(
+        order_items=spark.table(name("order_items")).select(*ORDER_ITEM_COLUMNS),
+        events=spark.table(name("events")).select(*EVENT_COLUMNS),
+        users=spark.table(name("users")).select(*USER_COLUMNS),
+    )

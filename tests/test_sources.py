@@ -84,3 +84,16 @@ def test_cli_lists_metrics(capsys):
     assert main(["list"]) == 0
     names = capsys.readouterr().out.split()
     assert "segment_split" in names and "dashboard_payload" in names
+
+
+def test_catalog_tables_read_registered_names(spark):
+    from basketlens.params import fixture_params
+    from basketlens.sources import catalog_tables
+
+    t = fixture_tables(spark, SF001)
+    t.register(prefix="cat_")
+    c = catalog_tables(spark, prefix="cat_")
+    p = fixture_params()
+    a = metrics.monthly_product_metrics(t, p).collect()
+    b = metrics.monthly_product_metrics(c, p).collect()
+    assert a == b and len(a) > 0
