@@ -52,7 +52,9 @@ def _build_snapshot(t: Tables, p: Params, clock: str) -> DataFrame:
         )
     if clock == "ts":
         orders = completed_orders(completed_items(t.order_items, p))
-        cut = midnight(snapshot_date(orders))
+        # Latest order time from the shared rollup, not another pass over orders.
+        last = max_scalar(order_month_rollup(t, p, from_start=False), F.col("last_t"))
+        cut = midnight(F.date_sub(F.trunc(last, "MM"), 1))
         o = orders.filter(F.col("order_ts") <= cut)
         # One row per (user, order): COUNT(*) per user is the distinct order count.
         return o.groupBy("user_id").agg(
