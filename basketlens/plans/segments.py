@@ -15,11 +15,6 @@ from basketlens.sources.tables import Tables
 SEGMENTS = ["Dormant", "At risk", "Newly acquired", "Active repeat", "Champions"]
 
 
-def snapshot_date(orders: DataFrame):
-    """Last day of the last full month: first day of the latest order's month minus one day."""
-    return F.date_sub(F.trunc(max_scalar(orders, F.col("order_ts")), "MM"), 1)
-
-
 def _snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     """Per customer: first/last purchase, lifetime orders and revenue, recency.
 
