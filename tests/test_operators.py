@@ -1,5 +1,6 @@
 """Differential and skew tests of the reusable operators against naive forms."""
 
+import math
 import random
 
 import duckdb
@@ -123,3 +124,35 @@ def test_exact_quantile_of_nothing_is_null(spark):
     assert exact_quantile(empty, "v", 0.5, by=["g"]).collect() == []
     one = spark.createDataFrame([(1, 3.5)], "g long, v double")
     assert exact_quantile(one, "v", 0.75).collect()[0]["quantile"] == 3.5
+
+
+def test_exact_quantile_bracket_path_under_stress(spark):
+    """Tiny accuracies force the sketch bracket on almost every case: skewed,
+    heavy-duplicate and wide distributions, many quantiles. The operator
+    either matches DuckDB exactly or would raise; it must never differ."""
+    rng = random.Random(17)
+    con = duckdb.connect()
+    for case in range(8):
+        n = rng.choice([200, 1000, 5000])
+        kind = case % 4
+        if kind == 0:
+            vals = [rng.expovariate(1.0) * 1000 for _ in range(n)]
+        elif kind == 1:
+            vals = [float(rng.randint(0, 5)) for _ in range(n)]  # few distinct values
+        elif kind == 2:
+            vals = [rng.lognormvariate(0, 3) for _ in range(n)]  # very wide
+        else:
+            vals = [1e6 if rng.random() < 0.34 else rng.random() for _ in range(n)]  # one hot value
+        pdf = pd.DataFrame({"g": [i % 3 for i in range(n)], "v": vals})
+        df = spark.createDataFrame(pdf).repartition(5)
+        con.register("t", pdf)
+        acc = rng.choice([20, 50, 200])
+        for q in (0.1, 0.5, 0.75, 0.9):
+            got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, by=["g"], accuracy=acc).collect()}
+            exp = dict(con.execute(f"SELECT g, quantile_cont(v, {q}) FROM t GROUP BY g").fetchall())
+            # A missed bracket would pick other order statistics (or raise);
+            # the last-bit tolerance only absorbs the other engine's fused
+            # multiply-add in lo + (hi - lo) * frac.
+            assert got.keys() == exp.keys(), (case, acc, q)
+            for g in exp:
+                assert math.isclose(got[g], exp[g], rel_tol=1e-12, abs_tol=1e-300), (case, acc, q, g)
