@@ -19,7 +19,10 @@ from pyspark.sql import SparkSession  # noqa: E402
 from __spark_entry__ import queries  # noqa: E402
 from tests.test_random_fixture import generate  # noqa: E402
 
-QUERIES = ["first_orders", "order_sequence", "churn_vs_revenue", "customer_mix_order_grain_all", "segment_split"]
+QUERIES = [
+    "first_orders", "order_sequence", "churn_vs_revenue", "customer_mix_order_grain_all", "segment_split",
+    "orders_in_next_90d",
+]
 CONTRAST = "naive_lead_over_raw_orders"
 
 
