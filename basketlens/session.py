@@ -43,10 +43,17 @@ def apply_required_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def runs_on_one_machine(master: str | None) -> bool:
+    """True for local[...] masters, whose tasks share the driver's disk."""
+    return bool(master) and (master == "local" or master.startswith("local["))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (spark.checkpoint.dir).
+    """The session's shared checkpoint folder (spark.checkpoint.dir).
 
-    Only when the session has none (local tests) is a scratch folder set.
+    Where the session names none, a scratch folder is set for local[...]
+    masters only (tests, bench); on a cluster that would be one folder for each
+    machine, so the call raises instead.
     """
     try:
         sc = spark.sparkContext
@@ -57,9 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is None or not runs_on_one_machine(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="basketlens-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    else:
-        spark.conf.set("spark.checkpoint.dir", path)
+    sc.setCheckpointDir(path)
     return path
