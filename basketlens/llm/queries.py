@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, url_rules, warc
+from basketlens.llm import mixing, packing, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,17 @@ URL_RULES = [
 ]
 
 
+def byte_bpe() -> tuple[str, str, str]:
+    """The public byte-level vocabulary: its file, its ranks and its word pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(read(spark, sf_dir, "pages"), rules)
@@ -37,6 +48,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
