@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, url_rules, warc
+from basketlens.llm import mixing, packing, simhash, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def byte_bpe() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), byte_bpe())
 
@@ -48,6 +52,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
     "op6_mixing": op6_mixing,
