@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, simhash, url_rules, warc
+from basketlens.llm import mixing, packing, simhash, toxicity, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def byte_bpe() -> tuple[str, str, str]:
     """The public byte-level vocabulary: its file, its ranks and its word pattern."""
     import public_tokenizers
@@ -53,6 +57,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
     "op6_mixing": op6_mixing,
