@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, simhash, toxicity, url_rules, warc
+from basketlens.llm import mixing, packing, pseudonyms, simhash, toxicity, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).drop("url")
 
 
+# The query's key. A real run takes its own from a secret store.
+PSEUDONYM_KEY = "registered query"
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymized(docs, PSEUDONYM_KEY, found="kinds")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -62,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_rules": op4_url_rules,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op9_pseudonyms": op9_pseudonyms,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
