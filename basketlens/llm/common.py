@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.session import ensure_checkpoint_dir
 
+PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
 # Words are runs of anything but the ASCII space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 9223372036854775807
@@ -35,6 +42,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that
+    tasks can import it whatever the session's search path is."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        archive = f"{tempfile.mkdtemp(prefix='basketlens-')}/{PACKAGE.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                out.write(file, file.relative_to(PACKAGE.parent))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+
+
+def in_arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """A Python task over the Arrow batches of each partition."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def key(column: str) -> Column:
     """An id with null as the largest value, so that nulls join and sort last."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import saved
+from basketlens.llm.common import in_arrow, saved, ship
 
 CAPACITY = 2048
 OPEN_BINS = 65536
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: tuple, capacity: int = CAPACITY, end_id:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
-    return saved(rows.mapInArrow(run, PIECE_SCHEMA), "pieces")
+    return saved(in_arrow(rows, run, PIECE_SCHEMA), "pieces")
 
 
 class BestFit:
@@ -169,6 +169,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
                 offset=np.array([at for _, at in places], dtype=np.int64),
             )
 
+    ship(found.sparkSession)
     tasks = max(1, -(-found.count() // per_task))
     dealt = found.repartition(tasks).sortWithinPartitions(F.desc("length"), "row", "piece")
     return dealt.mapInPandas(run, PLACE_SCHEMA)
@@ -196,11 +197,7 @@ def packed_ids(docs: DataFrame, places: DataFrame, tokenizer: tuple, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["sequence_id", "offset", "ids"])
 
     parts = places.groupBy("doc_id").agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("parts"))
-    cut_up = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(parts, "doc_id")
-        .select("text", "parts")
-        .mapInArrow(run, "sequence_id long, offset long, ids array<int>")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(parts, "doc_id").select("text", "parts")
+    cut_up = in_arrow(texts, run, "sequence_id long, offset long, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return cut_up.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, pseudonyms, simhash, toxicity, url_rules, warc
+from basketlens.llm import mixing, packing, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"), rules)
 
 
+def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
+    "op5_rabitq": op5_rabitq,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op9_pseudonyms": op9_pseudonyms,

@@ -15,8 +15,8 @@ verified by its bit distance.
 
 Equal fingerprints are one node from the start. A task reads its keys in order and holds
 one key's fingerprints at a time. Keys of more than `MOST` fingerprints go
-through a second round, where they are cut into blocks and each pair of blocks is a
-group of its own; nothing is dropped. Large groups yield a spanning forest, not pairs.
+through a second round, where they are cut into blocks and each block and pair of blocks
+is a group of its own; nothing is dropped. Large groups yield a spanning forest, not pairs.
 
 Cases: a text without words, or a null one, has fingerprint zero and links like any
 other; a text shorter than the shingle is one shingle. Rows that repeat a doc_id are
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import golay
-from basketlens.llm.common import key, saved, unkey
+from basketlens.llm.common import in_arrow, key, saved, unkey
 from basketlens.llm.components import components
+from basketlens.llm.groups import in_blocks, starts_of, whole_keys
 
 SHINGLE = 3
 SEED = 42
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), fp], names=["id", "fp"])
 
     rows = docs.select(key("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(run, "id long, fp long"), "fingerprints")
+    return saved(in_arrow(rows, run, "id long, fp long"), "fingerprints")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +133,7 @@ def _forest(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.nda
 
 def links_in(keys: np.ndarray, fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Verified links between the fingerprints of each key; keys are sorted."""
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    size = np.diff(np.r_[first, len(keys)])
+    first, size = starts_of(keys)[:-1], np.diff(starts_of(keys))
     a, b = [], []
     small = np.repeat((size > 1) & (size <= SMALL), size)
     k, f = keys[small], fps[small]
@@ -161,47 +161,14 @@ def _search(max_bits: int, most: int | None):
     """A task over (key, fp) rows in key order: links (key null), and the rows of keys
     with more than `most` fingerprints as they came (b null)."""
 
-    def links(keys, fps):
-        a, b = links_in(keys, fps, max_bits)
-        if len(a):
-            yield _batch(pa.nulls(len(a), pa.int64()), a, b)
-
-    def passed_on(keys, fps):
-        yield _batch(keys, fps, pa.nulls(len(fps), pa.int64()))
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.int64)
-        held_keys, held = none, none  # of the last key, which may go on
-        large = None  # the key whose rows are passed on
-        for batch in batches:
-            keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
-            if large is not None:
-                n = np.searchsorted(keys, large, side="right")
-                if n:
-                    yield from passed_on(keys[:n], fps[:n])
-                    keys, fps = keys[n:], fps[n:]
-                if not len(keys):
-                    continue
-                large = None
-            keys, fps = np.concatenate([held_keys, keys]), np.concatenate([held, fps])
-            if not len(keys):
-                continue
-            cut = np.searchsorted(keys, keys[-1], side="left")
-            done_keys, done, held_keys, held = keys[:cut], fps[:cut], keys[cut:], fps[cut:]
-            if most is not None and len(done):
-                first = np.flatnonzero(np.r_[True, done_keys[1:] != done_keys[:-1]])
-                size = np.diff(np.r_[first, len(done)])
-                over = np.repeat(size > most, size)
-                if over.any():
-                    yield from passed_on(done_keys[over], done[over])
-                    done_keys, done = done_keys[~over], done[~over]
-            if len(done):
-                yield from links(done_keys, done)
-            if most is not None and len(held) > most:
-                yield from passed_on(held_keys, held)
-                large, held_keys, held = held_keys[0], none, none
-        if len(held):
-            yield from links(held_keys, held)
+        for whole, rows in whole_keys(batches, most):
+            keys, fps = rows.column("key").to_numpy(), rows.column("fp").to_numpy()
+            if whole:
+                a, b = links_in(keys, fps, max_bits)
+                yield _batch(pa.nulls(len(a), pa.int64()), a, b)
+            else:
+                yield _batch(keys, fps, pa.nulls(len(fps), pa.int64()))
 
     return run
 
@@ -219,23 +186,14 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, most: int = MOST
     max_bits (at most 3) would."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find distances up to 3 bits")
-    keyed = fps.mapInArrow(_keyed, "key long, fp long")
-    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(max_bits, most), FOUND), "links")
+    keyed = in_arrow(fps, _keyed, "key long, fp long")
+    found = saved(in_arrow(keyed.repartition("key").sortWithinPartitions("key"), _search(max_bits, most), FOUND), "links")
     links = found.filter("b is not null").select("a", "b")
     large = found.filter("b is null").select("key", F.col("a").alias("fp"))
     if large.isEmpty():
         return links
-    # Blocks of half the size; each pair of a key's blocks is a group of its own.
-    blocks = F.ceil(F.count(F.lit(1)) * 2 / most).cast("int")
-    sizes = saved(large.groupBy("key").agg(blocks.alias("blocks")), "large-keys")
-    grouped = (
-        large.join(sizes, "key")
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .filter("block <> other")
-        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-    )
-    again = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_search(max_bits, None), FOUND)
+    grouped = in_blocks(large, most, F.col("fp")).select("key", "fp")
+    again = in_arrow(grouped, _search(max_bits, None), FOUND)
     return links.unionByName(again.select("a", "b"))
 
 

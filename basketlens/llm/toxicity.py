@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import rest_of_crc32
+from basketlens.llm.common import rest_of_crc32, ship
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -158,6 +158,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on docs(doc_id, text) and labels(doc_id, toxic), less the held-out fold."""
+    ship(docs.sparkSession)
     known = (
         labels.filter(F.col("toxic").isNotNull() & (rest_of_crc32("doc_id", FOLDS) != HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
