@@ -27,8 +27,8 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
 
 
 def whole_keys(batches: Iterable[pa.RecordBatch], most: int | None) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """(True, rows of complete keys) and, where a key has more than `most` rows,
-    (False, some of its rows). At most one key's bounded rows are held."""
+    """(True, rows of complete keys) and, of keys with more than `most` rows, (False,
+    some of their rows). At most one key's bounded rows are held."""
     held: pa.RecordBatch | None = None
     large = None
     for batch in batches:

@@ -176,6 +176,11 @@ def _by_dimension(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(dimensions == d)) if len(found) > 1 else rows
 
 
+def _one_of_each(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The first row of each key."""
+    return rows.take(pa.array(starts_of(rows.column("key").to_numpy())[:-1]))
+
+
 def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Merge the pairs into `root`, the first member of each row's component."""
     while len(i):
@@ -217,7 +222,7 @@ def _estimated(threshold: float, confidence: float, width: int, count: int):
     def task(most: int | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole, found in whole_keys(batches, most):
-                for rows in _by_dimension(found) if whole else [found.slice(0, 1)]:
+                for rows in _by_dimension(found) if whole else [_one_of_each(found)]:
                     if whole:
                         rows = rows.filter(pa.array(rows_to_check(rows)))
                     columns = [rows.column(c) for c in ("home", "band", "cid", "code")]
@@ -252,9 +257,9 @@ def _recomputed(threshold: float, width: int, count: int):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["key", "cid", "root", "links", "large"]
             for whole, found in whole_keys(batches, most):
-                for rows in _by_dimension(found) if whole else [found.slice(0, 1)]:
+                for rows in _by_dimension(found) if whole else [_one_of_each(found)]:
                     cid = rows.column("cid").to_numpy()
-                    links, root = links_of(rows) if whole else (np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+                    links, root = links_of(rows) if whole else (np.ones(len(cid), dtype=np.int64), np.arange(len(cid)))
                     some = links > 0
                     columns = [rows.column("home").to_numpy()[some], cid[some], cid[root[some]], links[some], np.full(some.sum(), not whole)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
