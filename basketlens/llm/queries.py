@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
+from basketlens.llm import mixing, packing, pivots, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymized(docs, PSEUDONYM_KEY, found="kinds")
 
 
+def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op9_pseudonyms": op9_pseudonyms,
+    "op10_pivots": op10_pivots,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -135,4 +140,14 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(encode(html)) AS payload_digest
        CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM newest THEN newest END AS refers_to
 FROM m""",
+    "op10_pivots": """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
