@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, packing, pivots, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
+from basketlens.llm import maxent, mixing, packing, pivots, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).drop("url")
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"))
+
+
 # The query's key. A real run takes its own from a secret store.
 PSEUDONYM_KEY = "registered query"
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op5_rabitq": op5_rabitq,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_maxent": op8_maxent,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_pivots": op10_pivots,
 }
