@@ -44,7 +44,7 @@ def with_targets(sources: DataFrame, weights: Sequence[int], max_repeats: int) -
     All words are shared by weight; a source stops at max_repeats times its size
     and its excess goes to the others, until none is above. In the order of size
     over weight the sources that stop come first, so one running sum finds the
-    level (words for a unit of weight) of those that don't.
+    level (words for a unit of weight) of those that don't: that of the first of them.
     """
     turn = F.pmod(F.row_number().over(Window.orderBy("skey")) - 1, F.lit(len(weights)))
     cap = (max_repeats * F.col("source_size")).cast("double")
@@ -58,7 +58,7 @@ def with_targets(sources: DataFrame, weights: Sequence[int], max_repeats: int) -
         .withColumn("others", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
         .withColumn("level", (F.sum("source_size").over(all_rows) - F.col("spent")) / F.col("others"))
         .withColumn("stops", F.col("cap") <= F.col("weight") * F.col("level"))
-        .withColumn("level", F.min(F.when(~F.col("stops"), F.col("level"))).over(all_rows))
+        .withColumn("level", F.max(F.when(~F.col("stops"), F.col("level"))).over(all_rows))
         .withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("weight") * F.col("level")))
         .drop("cap", "spent", "others", "level", "stops")
     )

@@ -125,7 +125,7 @@ f AS (SELECT *, sum(source_size) OVER () AS budget, sum(weight) OVER () AS weigh
              coalesce(sum(cap) OVER fill, 0) AS spent, coalesce(sum(weight) OVER fill, 0) AS passed
       FROM w WINDOW fill AS (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (budget - spent) / (weights - passed) AS lvl FROM f),
-t AS (SELECT *, min(lvl) FILTER (WHERE cap > weight * lvl) OVER () AS level FROM l),
+t AS (SELECT *, max(lvl) FILTER (WHERE cap > weight * lvl) OVER () AS level FROM l),
 src AS (SELECT skey, source_size, weight, budget,
                CASE WHEN cap <= weight * lvl THEN cap ELSE weight * level END AS target FROM t),
 q AS (SELECT d.*, source_size, weight, target, budget,
