@@ -48,6 +48,8 @@ TOXIC_BYTES = 110 * 1024
 # A word stays in the toxic dictionary from this z-score of its document shares on.
 CLEARLY = 4.0
 LEAST_DOCS = 3
+# Weight of the empty text in the calibration against all samples together.
+EMPTY_SHARE = 0.05
 
 
 @dataclass(frozen=True)
@@ -150,9 +152,11 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     words = _telling_words(_trained(cut[1], TOXIC_BYTES, 32), toxic, ordinary)
     model = Model(base, b" " + b" ".join(words) + b" " + base, (), share)
     pair = _compressors(model)
-    x = np.array([features(t, *pair) for t in toxic + ordinary])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    w = np.r_[np.full(len(toxic), share / len(toxic)), np.full(len(ordinary), (1 - share) / len(ordinary))] * len(y)
+    # The empty text counts as ordinary, or the calibration would only guess at it.
+    x = np.array([features(t, *pair) for t in [*toxic, *ordinary, b""]])
+    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary) + 1)]
+    w = [np.full(len(toxic), share / len(toxic)), np.full(len(ordinary), (1 - share) / len(ordinary)), [EMPTY_SHARE]]
+    w = np.concatenate(w) * len(y)
     return Model(model.ordinary, model.toxic, tuple(_logistic(x, y, w)), share)
 
 
