@@ -12,19 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.functions import money
-from basketlens.operators.facts import completed_items, completed_orders, items_in_window
+from basketlens.functions import money, numbered
+from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
 from basketlens.plans import churn, cohorts, experiment, launch, metrics, mix, orders, report, segments
 from basketlens.plans.sql import monthly_product_metrics_sql
 from basketlens.sources.export import export_tables
 from basketlens.sources.fixture import fixture_tables
-from basketlens.sources.tables import ORDER_ITEM_COLUMNS, Tables
+from basketlens.sources.shop import write_shop_layout
+from basketlens.sources.tables import ORDER_ITEM_COLUMNS, Tables, load, shop_tables
 
 Metric = Callable[[Tables, Params], DataFrame]
 
-EXPORT_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+# The driver's tables; the last name has no file, and the report says so.
+EXPORT_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "no_such_table",
+]
 
 
 def _items_out(df: DataFrame) -> DataFrame:
@@ -36,15 +41,15 @@ def scan_projected(t: Tables, p: Params) -> DataFrame:
 
 
 def completed_items_q(t: Tables, p: Params) -> DataFrame:
-    return _items_out(completed_items(t.order_items, p))
+    return _items_out(completed_items(t, p))
 
 
 def items_in_window_q(t: Tables, p: Params) -> DataFrame:
-    return _items_out(items_in_window(completed_items(t.order_items, p), p.start_date, p.end_date))
+    return _items_out(completed_items(t, p, p.start_date, p.end_date))
 
 
 def completed_orders_q(t: Tables, p: Params) -> DataFrame:
-    o = completed_orders(completed_items(t.order_items, p))
+    o = completed_orders(completed_items(t, p))
     return o.withColumn("order_value", money("order_value"))
 
 
@@ -59,18 +64,18 @@ def monthly_user_sales_q(t: Tables, p: Params) -> DataFrame:
 
 
 def order_sequence_q(t: Tables, p: Params) -> DataFrame:
-    o = completed_orders(completed_items(t.order_items, p))
+    o = completed_orders(completed_items(t, p))
     s = sequence(o, "user_id", "order_ts", "order_id")
     return s.select("user_id", "order_id", "order_ts", "order_rank", F.col("next_ts").alias("next_order_ts"))
 
 
 def distinct_order_timestamps(t: Tables, p: Params) -> DataFrame:
-    o = completed_orders(completed_items(t.order_items, p))
+    o = completed_orders(completed_items(t, p))
     return o.select("user_id", "order_ts").distinct()
 
 
 def next_distinct_order(t: Tables, p: Params) -> DataFrame:
-    o = completed_orders(completed_items(t.order_items, p))
+    o = completed_orders(completed_items(t, p))
     return next_distinct_time(o, "user_id", "order_ts")
 
 
@@ -144,9 +149,41 @@ METRICS: dict[str, Metric] = {
     "analysis_context": report.analysis_context,
     "summary_kpis": report.summary_kpis,
     "dashboard_payload": report.dashboard_payload,
+    "mix_since_start": report.mix_since_start,
+    "churn_since_start": report.churn_since_start,
+    # notebook forms
+    "launch_impact_notebook": lambda t, p: launch.launch_impact_notebook(t, notebook_labels(p)),
+    "prepost_display": launch.prepost_display,
+    "churn_90d_windowed_full_months": lambda t, p: churn.churn_90d_windowed(t, p, full_months_only=True),
+    "churn_90d_full_history_full_months": lambda t, p: churn.churn_90d_full_history(t, p, full_months_only=True),
+    "churn_90d_floor_days_full_months": lambda t, p: churn.churn_90d_floor_days(t, p, full_months_only=True),
+    # results with the place of each row: their order is part of what is compared
+    "position_overview": lambda t, p: numbered(metrics.overview_monthly_metrics(t, p)),
+    "head_mix": lambda t, p: numbered(newest(mix.customer_mix_full_history(t, p))),
+    "head_churn": lambda t, p: numbered(newest(churn.churn_90d_full_history(t, p))),
+    "position_launch_impact": lambda t, p: numbered(launch.launch_impact(t, p)),
+    "position_segments": lambda t, p: numbered(segments.segment_split(t, p)),
+    "position_bands": lambda t, p: numbered(orders.order_value_bands(t, p)),
+    "position_channels": lambda t, p: numbered(orders.first_order_repeat_by_channel(t, p)),
 }
 
 
+def newest(df: DataFrame, n: int = 5) -> DataFrame:
+    """The newest months first (`ORDER BY 1 DESC` and `head()`)."""
+    return df.orderBy(F.desc("month")).limit(n)
+
+
+def notebook_labels(p: Params) -> Params:
+    """Task D's labels in the notebook (the amounts follow the threshold)."""
+    amount = f"{p.threshold:.0f}"
+    return p.with_(
+        pre_label="1. Pre-Launch",
+        post_label="2. Post-Launch",
+        high_label=f"High Value (>= ${amount})",
+        low_label=f"Low Value (< ${amount})",
+    )
+
+
 def _bind(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return metric(fixture_tables(spark, sf_dir), fixture_params())
@@ -155,13 +192,29 @@ def _bind(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report_df, _ = export_tables(spark, EXPORT_TABLES, sf_dir)
-    return report_df.select("table_name", "rows")
+    return export_tables(spark, EXPORT_TABLES, sf_dir).select("table_name", "rows", (F.col("status") == "ok").alias("copied"))
+
+
+def _on_shop_files(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
+    """A metric over the same data in the original file layout."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metric(shop_tables(spark, write_shop_layout(fixture_tables(spark, sf_dir))), fixture_params())
+
+    return run
+
+
+def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the table's columns; only they are read."""
+    return load(spark, sf_dir, "events", ["user_id", "event_type"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {name: _bind(m) for name, m in METRICS.items()}
     q["export_report"] = export_report
+    q["scan_events"] = scan_events
+    for name in ("scan_projected", "monthly_product_metrics", "customer_mix_windowed"):
+        q[f"shop_{name}"] = _on_shop_files(METRICS[name])
     q["monthly_product_metrics_sql"] = lambda spark, sf_dir: monthly_product_metrics_sql(
         spark, fixture_tables(spark, sf_dir), fixture_params()
     )

@@ -12,6 +12,7 @@ from basketlens.functions.columns import (  # noqa: F401
     midnight,
     money,
     month,
+    numbered,
     ordered,
     ordered_case,
     plus_days,

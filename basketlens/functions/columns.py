@@ -114,6 +114,11 @@ def ordered(df, *cols, on: bool = True):
     return df.orderBy(*cols) if on else df
 
 
+def numbered(df):
+    """Add `position`, the place of each row of a small sorted result in its output."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def label_rank(c: str | Column, labels: Sequence[str]) -> Column:
     """Integer position of a label in a fixed order (ordered categorical)."""
     m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i + 1))])

@@ -21,11 +21,12 @@ from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources.tables import Tables
 
 
-def completed_items(order_items: DataFrame, p: Params) -> DataFrame:
-    """Completed, non-returned items (`status = 'Complete' AND returned_at IS NULL`)."""
-    return order_items.filter((F.col("status") == p.completed_status) & F.col("returned_at").isNull()).select(
-        "id", "order_id", "user_id", "created_at", "sale_price"
-    )
+def completed_items(t: Tables, p: Params, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Completed, non-returned items (`status = 'Complete' AND returned_at IS NULL`) of the
+    calendar days [start, end] (either bound optional)."""
+    rows = t.items_near(p.completed_status, start, end)
+    done = rows.filter((F.col("status") == p.completed_status) & F.col("returned_at").isNull())
+    return items_in_window(done.select("id", "order_id", "user_id", "created_at", "sale_price"), start, end)
 
 
 def items_in_window(items: DataFrame, start: date | None, end: date | None) -> DataFrame:
@@ -122,9 +123,7 @@ def order_month_rollup(t: Tables, p: Params, from_start: bool) -> DataFrame:
     items from the start date on)."""
 
     def build() -> DataFrame:
-        items = completed_items(t.order_items, p)
-        if from_start:
-            items = items_in_window(items, p.start_date, None)
+        items = completed_items(t, p, p.start_date if from_start else None)
         return user_month_orders(completed_orders(items))
 
     return materialize(t, ("order_month_rollup", p, from_start), build)

@@ -1,23 +1,13 @@
 """Exact interpolated quantile (`quantile_cont`) without a single-task buffer.
 
-Spark's exact `percentile` keeps every distinct value of a group in one
-aggregation buffer; for a global quantile over all customers that buffer
-lands in one task. This operator stays exact and distributed, in two passes
-over the input:
-
-1. per group: row count n and two sketch values lo, hi bracketing the
-   wanted rank (`percentile_approx`: mergeable, bounded memory). The sketch
-   returns values whose rank is within n/accuracy of the asked rank, so asking
-   at q -/+ 3/accuracy brackets rank q*(n-1) whenever n >= accuracy. Smaller
-   groups are not bracketed (all of their < 2*accuracy values are kept);
-2. one aggregation counts the values below lo and above hi and the distinct
-   values inside [lo, hi] (about 6n/accuracy of them); a window over only
-   those rows gives running ranks, and the two values around the rank are
-   interpolated: lo + (hi - lo) * frac with frac = pos - floor(pos),
-   pos = q * (n - 1).
-
-If a bracket ever missed the rank the query fails with an error instead of
-returning a wrong value.
+Spark's exact `percentile` keeps every distinct value of a group in one aggregation
+buffer. Here the distinct values with their counts are cut into ranges (see
+`ranges`); the counts of the ranges, one row each, tell which range holds the wanted
+rank, and only the rows of those ranges are ranked, each range in a task of its own.
+The plan is the same for groups of any size.
+
+With pos = q * (n - 1) the result is v[floor(pos)] + (v[ceil(pos)] - v[floor(pos)]) *
+(pos - floor(pos)) over the sorted values v.
 """
 
 from __future__ import annotations
@@ -27,16 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.operators.facts import row_scalar
-
-
-def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Per-group statistics next to each value: an equi join on the group
-    keys, or, for a global quantile, the one stats row as a scalar subquery."""
-    if by:
-        return df.join(stats, by, "inner")
-    row = row_scalar(stats)
-    return df.select("*", *[row[c].alias(c) for c in stats.columns])
+from basketlens.operators.ranges import PART, in_ranges
 
 
 def exact_quantile(
@@ -44,68 +25,37 @@ def exact_quantile(
     value: str,
     q: float,
     by: Sequence[str] = (),
-    accuracy: int = 10000,
     out: str = "quantile",
 ) -> DataFrame:
     """One row per group (or one row) with the exact `quantile_cont(value, q)`."""
     by = list(by)
-    eps = 1.0 / accuracy
-    lo_q, hi_q = max(0.0, q - 3 * eps), min(1.0, q + 3 * eps)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-
-    stats = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("_br"),
+    counts = in_ranges(base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt")), *by, "_v")
+
+    # One row for each range of a group: ranks before it, and the wanted ranks.
+    so_far = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pos = (F.sum("_n").over(Window.partitionBy(*by)) - 1) * F.lit(float(q))
+    ranges = (
+        counts.groupBy(*by, PART)
+        .agg(F.sum("_cnt").alias("_n"))
+        .withColumns({"_end": F.sum("_n").over(so_far), "_pos": pos})
+        .withColumns({"_i": F.floor("_pos"), "_j": F.ceil("_pos"), "_before": F.col("_end") - F.col("_n")})
+        .filter((F.col("_i") < F.col("_end")) & (F.col("_j") >= F.col("_before")))
     )
-    bracketed = F.col("_n") >= accuracy
-    pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    stats = stats.select(
-        *by,
-        F.when(bracketed, F.col("_br")[0]).alias("_lo"),
-        F.when(bracketed, F.col("_br")[1]).alias("_hi"),
-        F.floor(pos).cast("long").alias("_i"),
-        F.ceil(pos).cast("long").alias("_j"),
-        (pos - F.floor(pos)).alias("_frac"),
+    ranges = ranges.select(*by, PART, "_before", "_pos", "_i", "_j").alias("r")
+    rows = counts.alias("c")
+    cond = F.col(f"c.{PART}") == F.col(f"r.{PART}")
+    for c in by:
+        cond = cond & F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}"))
+    inside = rows.join(ranges, cond).select(
+        *(F.col(f"c.{c}").alias(c) for c in by), F.col(f"c.{PART}").alias(PART), "_v", "_cnt", "_before", "_pos", "_i", "_j"
     )
-
-    side = (
-        F.when(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo")), F.lit(-1))
-        .when(F.col("_hi").isNotNull() & (F.col("_v") > F.col("_hi")), F.lit(1))
-        .otherwise(F.lit(0))
-    )
-    counted = (
-        _attach(base, stats, by)
-        .withColumn("_side", side)
-        .groupBy(*by, "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_bv"))
-        .agg(
-            F.count(F.lit(1)).alias("_cnt"),
-            F.first("_i").alias("_i"),
-            F.first("_j").alias("_j"),
-            F.first("_frac").alias("_frac"),
-        )
-    )
-    # Rows per group: the in-bracket distinct values plus at most two
-    # below/above rows, so this window is bounded by the bracket width.
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_side", "_bv")
-    ranked = counted.withColumn("_cum", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = F.col("_side") == 0
+    in_range = Window.partitionBy(*by, PART).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_cnt").over(in_range))
     picked = ranked.groupBy(*by).agg(
-        F.min(F.when(inside & (F.col("_cum") > F.col("_i")), F.col("_bv"))).alias("_vi"),
-        F.min(F.when(inside & (F.col("_cum") > F.col("_j")), F.col("_bv"))).alias("_vj"),
-        F.coalesce(F.sum(F.when(F.col("_side") == -1, F.col("_cnt"))), F.lit(0)).alias("_below"),
-        F.coalesce(F.sum(F.when(F.col("_side") <= 0, F.col("_cnt"))), F.lit(0)).alias("_upto"),
-        F.first("_i").alias("_i"),
-        F.first("_j").alias("_j"),
-        F.first("_frac").alias("_frac"),
+        F.min(F.when(F.col("_upto") > F.col("_i"), F.col("_v"))).alias("_vi"),
+        F.min(F.when(F.col("_upto") > F.col("_j"), F.col("_v"))).alias("_vj"),
+        F.max(F.col("_pos") - F.col("_i")).alias("_frac"),
     )
-    ok = (F.col("_below") <= F.col("_i")) & (F.col("_upto") >= F.col("_j") + 1)
     result = F.col("_vi") + (F.col("_vj") - F.col("_vi")) * F.col("_frac")
-    return picked.select(
-        *by,
-        # No values at all (an empty input's single global row): NULL, like SQL.
-        F.when(F.col("_i").isNull() | (F.col("_i") < 0), F.lit(None))
-        .when(ok, result)
-        .otherwise(F.raise_error(F.lit("exact_quantile: sketch bracket missed the rank")))
-        .cast("double")
-        .alias(out),
-    )
+    return picked.select(*by, result.cast("double").alias(out))

@@ -8,8 +8,8 @@ operators never do that. Instead they:
   so per-user windows work on a bounded number of rows;
 * use `row_number() <= k`, which Spark turns into a partial
   WindowGroupLimit that keeps only k rows per user *before* the shuffle;
-* for a full sequence, rank inside (user, hour) buckets and add per-bucket
-  offsets computed over the bounded bucket rollup.
+* for a full sequence, rank inside ranges of the global (user, time) order and add
+  per-range offsets (see `ranges`).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions import day
+from basketlens.operators.ranges import PART, in_ranges
 
 
 def with_next_period(rollup: DataFrame, user: str = "user_id", period: str = "period_start") -> DataFrame:
@@ -56,33 +56,31 @@ def first_two_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def sequence(df: DataFrame, key: str, ts: str, tiebreak: str, bucket: str = "hour") -> DataFrame:
+def sequence(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
     """Full per-key sequence: adds `order_rank` (ROW_NUMBER by ts, tiebreak)
-    and `next_ts` (LEAD of ts in that order) to every row.
-
-    Two-level plan: rank and lead inside (key, time bucket) groups, then a
-    window over the per-(key, bucket) rollup (one row per active bucket)
-    gives each bucket its rank offset and the first time of the next bucket.
-    Hour buckets keep both levels small even for a customer with a large
-    share of all orders: a day of that customer's orders is split 24 ways,
-    and the bucket level holds at most 24 rows per active day.
+    and `next_ts` (LEAD of ts in that order) to every row, null keys included.
+
+    The rows are cut into ranges of (key, ts, tiebreak), so a customer with a large
+    share of all orders is spread over many tasks, even on one day. Ranks and next
+    times inside a range come from a window there; a window over one row per (key, range)
+    adds the rank offset and the first time of the key's next range.
     """
-    b = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)) if bucket != "day" else day(ts))
-    w_in = Window.partitionBy(key, "_b").orderBy(ts, tiebreak)
-    local = b.withColumn("_rn", F.row_number().over(w_in)).withColumn("_next", F.lead(ts).over(w_in))
-    stats = b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_first"))
-    w_b = Window.partitionBy(key).orderBy("_b")
-    stats = stats.select(
+    rows = in_ranges(df, *dict.fromkeys([key, ts, tiebreak]))
+    here = Window.partitionBy(PART, key).orderBy(ts, tiebreak)
+    local = rows.withColumn("_rn", F.row_number().over(here)).withColumn("_next", F.lead(ts).over(here)).alias("l")
+    per_range = rows.groupBy(key, PART).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_first"))
+    w = Window.partitionBy(key).orderBy(PART)
+    offsets = per_range.select(
         key,
-        "_b",
-        (F.sum("_n").over(w_b.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_off"),
-        F.lead("_first").over(w_b).alias("_next_b"),
-    )
-    return (
-        local.join(stats, [key, "_b"], "inner")
-        .withColumn("order_rank", (F.col("_off") + F.col("_rn")).cast("long"))
-        .withColumn("next_ts", F.coalesce(F.col("_next"), F.col("_next_b")))
-        .drop("_b", "_rn", "_next", "_off", "_next_b")
+        PART,
+        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_off"),
+        F.lead("_first").over(w).alias("_next_range"),
+    ).alias("o")
+    same = (F.col(f"l.{PART}") == F.col(f"o.{PART}")) & F.col(f"l.{key}").eqNullSafe(F.col(f"o.{key}"))
+    return local.join(offsets, same).select(
+        *(F.col(f"l.{c}").alias(c) for c in df.columns),
+        (F.col("_off") + F.col("_rn")).cast("long").alias("order_rank"),
+        F.coalesce("_next", "_next_range").alias("next_ts"),
     )
 
 

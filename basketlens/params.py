@@ -13,7 +13,8 @@ from datetime import date
 
 
 def _money_label(x: float) -> str:
-    return f"${x:g}"
+    """'$100', '$1250000', '$99.5': plain digits at any size."""
+    return "$" + (f"{x:.0f}" if x == int(x) else f"{x:.2f}".rstrip("0"))
 
 
 # The defaults below (dates, threshold 100, bands 50/75/100/125,
@@ -58,26 +59,27 @@ class Params:
     experiment_end: date | None = None
     treatment_share_pct: int = 50
 
-    # Distributed exact quantile: relative error of the sketch that brackets
-    # the exact rank before the exact refinement step.
-    quantile_accuracy: int = 10000
-
     # Labels (the dialects disagree, so they are parameters; see V12).
     pre_label: str = "Pre-Launch"
     post_label: str = "Post-Launch"
     baseline_pre_label: str = "Pre-launch"
     baseline_post_label: str = "Post-launch"
+    # None: built from the threshold.
+    high_label: str | None = None
+    low_label: str | None = None
+    # Index in band_edges of the lower edge of the band just below the threshold.
+    near_band: int = 1
 
     def with_(self, **kw) -> "Params":
         return dataclasses.replace(self, **kw)
 
     @property
     def at_or_above_label(self) -> str:
-        return f"At/Above {_money_label(self.threshold)}"
+        return self.high_label or f"At/Above {_money_label(self.threshold)}"
 
     @property
     def below_label(self) -> str:
-        return f"Below {_money_label(self.threshold)}"
+        return self.low_label or f"Below {_money_label(self.threshold)}"
 
     @property
     def band_labels(self) -> list[str]:
@@ -89,6 +91,11 @@ class Params:
         labels.append(f"{_money_label(e[-1])}+")
         return labels
 
+    @property
+    def near_band_label(self) -> str:
+        """The band that starts at band_edges[near_band]."""
+        return self.band_labels[self.near_band + 1]
+
     @property
     def exp_start(self) -> date:
         return self.experiment_start or self.launch_date

@@ -30,7 +30,6 @@ from basketlens.operators.bands import count_following
 from basketlens.operators.facts import (
     completed_items,
     completed_orders,
-    items_in_window,
     materialize,
     max_scalar,
     order_month_rollup,
@@ -97,10 +96,14 @@ def flag_churn(
 
 
 def churn_counts(flagged: DataFrame, horizon: int, label: str = "month", who: str = "customers") -> DataFrame:
+    """Distinct known users by period: rows are one per user and period, so a count
+    of non-null users is the distinct count."""
+    known = F.count("user_id")
+    churned = F.count_if(F.col("churned") & F.col("user_id").isNotNull())
     return flagged.groupBy(F.col("period_start").alias(label)).agg(
-        F.count(F.lit(1)).alias(f"active_{who}"),
-        F.count_if("churned").alias(f"churned_{who}_{horizon}d"),
-        ratio(F.count_if("churned"), F.count(F.lit(1))).alias(f"churn_rate_{horizon}d"),
+        known.alias(f"active_{who}"),
+        churned.alias(f"churned_{who}_{horizon}d"),
+        ratio(churned, known).alias(f"churn_rate_{horizon}d"),
     )
 
 
@@ -108,9 +111,7 @@ def churn_counts(flagged: DataFrame, horizon: int, label: str = "month", who: st
 
 
 def _item_day_rollup(t: Tables, p: Params, windowed: bool) -> tuple[DataFrame, DataFrame]:
-    items = completed_items(t.order_items, p)
-    if windowed:
-        items = items_in_window(items, p.start_date, p.end_date)
+    items = completed_items(t, p, p.start_date, p.end_date) if windowed else completed_items(t, p)
     r = materialize(t, ("item_day_rollup", p, windowed), lambda: period_rollup(items, "user_id", day("created_at")))
     return items, r
 
@@ -123,7 +124,7 @@ def user_month_activity(t: Tables, p: Params) -> DataFrame:
 
 def data_boundary(t: Tables, p: Params) -> DataFrame:
     """Latest completed-order day inside the window (one row)."""
-    items = items_in_window(completed_items(t.order_items, p), p.start_date, p.end_date)
+    items = completed_items(t, p, p.start_date, p.end_date)
     return items.agg(F.max(day("created_at")).alias("max_observed_order_date"))
 
 
@@ -141,14 +142,15 @@ def eligible_user_months(t: Tables, p: Params) -> DataFrame:
     return f.select("user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_order_date_in_month"))
 
 
-def churn_90d_windowed(t: Tables, p: Params) -> DataFrame:
+def churn_90d_windowed(t: Tables, p: Params, full_months_only: bool = False) -> DataFrame:
     """Task C: windowed history, boundary = last completed day in the window."""
     _, r = _item_day_rollup(t, p, windowed=True)
-    out = churn_counts(flag_churn(r, rollup_boundary(r), p.horizon_days, "date"), p.horizon_days)
+    flagged = flag_churn(r, rollup_boundary(r), p.horizon_days, "date", full_months_only)
+    out = churn_counts(flagged, p.horizon_days)
     return out.orderBy("month")
 
 
-def churn_90d_full_history(t: Tables, p: Params, method: str = "lead") -> DataFrame:
+def churn_90d_full_history(t: Tables, p: Params, method: str = "lead", full_months_only: bool = False) -> DataFrame:
     """Notebook Task C: all history, boundary = last day over all items of any status.
 
     method='lead' (default) reads the next active month's first day;
@@ -175,12 +177,12 @@ def churn_90d_full_history(t: Tables, p: Params, method: str = "lead") -> DataFr
     boundary = rollup_boundary(r_all, "_any_t")
     r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
     if method == "lead":
-        flagged = flag_churn(r, boundary, p.horizon_days, "date")
-    elif method == "band":
+        flagged = flag_churn(r, boundary, p.horizon_days, "date", full_months_only)
+    elif method == "band" and not full_months_only:
         q = r.filter(date_plus("last_t", p.horizon_days) <= boundary).select(
             "user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_day")
         )
-        items = completed_items(t.order_items, p)
+        items = completed_items(t, p)
         facts = items.select("user_id", day("created_at").alias("fact_day"), F.col("order_id").alias("fact_id"))
         counted = count_following(q, facts, p.horizon_days, "_n")
         flagged = counted.groupBy("user_id", F.col("month").alias("period_start")).agg(
@@ -208,10 +210,7 @@ def orders_in_next_days(t: Tables, p: Params) -> DataFrame:
 
 
 def _orders(t: Tables, p: Params, from_start: bool) -> DataFrame:
-    items = completed_items(t.order_items, p)
-    if from_start:
-        items = items_in_window(items, p.start_date, None)
-    return completed_orders(items)
+    return completed_orders(completed_items(t, p, p.start_date if from_start else None))
 
 
 def _monthly_order_revenue(um: DataFrame) -> DataFrame:
@@ -246,18 +245,20 @@ def churn_vs_revenue(
     method='rollup' (default) reads the next active month's first order;
     method='lead_join' joins user-months back to the per-order LEAD sequence.
     """
-    h = horizon or p.horizon_days
+    h = p.horizon_days if horizon is None else horizon
     r = order_month_rollup(t, p, from_start=True)
     if method == "rollup":
         # Churn counts and order-month revenue in one aggregation over the
         # rollup: every user-month adds revenue, eligible ones add counts.
+        known = F.col("user_id").isNotNull()
         flagged = flag_churn(r, rollup_boundary(r), h, "ts", full_months_only, keep_all=True)
         g = flagged.groupBy(F.col("period_start").alias("month")).agg(
-            F.count_if("eligible").alias("active_customers"),
-            F.count_if("churned").alias(f"churned_customers_{h}d"),
+            F.count_if("eligible").alias("_rows"),
+            F.count_if(F.col("eligible") & known).alias("active_customers"),
+            F.count_if(F.col("churned") & known).alias(f"churned_customers_{h}d"),
             F.sum("value").alias("_revenue"),
         )
-        out = g.filter(F.col("active_customers") > 0).select(
+        out = g.filter(F.col("_rows") > 0).select(
             "month",
             "active_customers",
             f"churned_customers_{h}d",
@@ -267,9 +268,9 @@ def churn_vs_revenue(
     elif method == "lead_join" and not full_months_only:
         orders = _orders(t, p, from_start=True)
         churn = churn_counts(_lead_join_flags(orders, r, rollup_boundary(r), h), h)
-        # Both sides have one row per month: a fixed, tiny bound.
+        # Both sides have one row per month.
         rev = _monthly_order_revenue(r)
-        out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
+        out = churn.join(rev, "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     else:
         raise ValueError(f"unsupported method {method!r}")
     return ordered(out, "month", on=sort)
@@ -283,15 +284,15 @@ def churn_vs_revenue_full_months(t: Tables, p: Params) -> DataFrame:
     return churn_vs_revenue(t, p, full_months_only=True)
 
 
-def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True) -> DataFrame:
+def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True, full_months_only: bool = False) -> DataFrame:
     """Notebook churn: all-history orders, whole elapsed days, midnight
     boundary; joined to item-month revenue like the notebook's chart."""
-    items = completed_items(t.order_items, p)
+    items = completed_items(t, p)
     r = order_month_rollup(t, p, from_start=False)
     boundary = midnight(rollup_boundary(r))
-    churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days"), p.horizon_days)
+    churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days", full_months_only), p.horizon_days)
     rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))
-    out = churn.join(F.broadcast(rev), "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
+    out = churn.join(rev, "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     return ordered(out, "month", on=sort)
 
 

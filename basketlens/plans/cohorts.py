@@ -13,6 +13,7 @@ from basketlens.sources.tables import Tables
 
 def cohort_retention(t: Tables, p: Params) -> DataFrame:
     active = order_month_rollup(t, p, from_start=False).select("user_id", F.col("period_start").alias("month"))
+    active = active.filter(F.col("user_id").isNotNull())
     # Window over distinct user-months: at most one row per month per user.
     x = active.withColumn("cohort_month", F.min("month").over(Window.partitionBy("user_id")))
     x = x.withColumn("month_offset", F.months_between("month", "cohort_month").cast("long"))

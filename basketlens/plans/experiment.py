@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import in_days, money, ratio
-from basketlens.operators.facts import completed_items, completed_orders, items_in_window
+from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
@@ -30,13 +30,15 @@ def arm(user_id: Column, treatment_share_pct: int) -> Column:
 
 def experiment_readout(t: Tables, p: Params) -> DataFrame:
     visitors = (
-        t.events.filter(F.col("user_id").isNotNull() & in_days("created_at", p.exp_start, p.exp_end))
+        t.events_near(p.exp_start, p.exp_end)
+        .filter(F.col("user_id").isNotNull() & in_days("created_at", p.exp_start, p.exp_end))
         .select("user_id")
         .distinct()
         .withColumn("_visitor", F.lit(True))
     )
-    items = items_in_window(completed_items(t.order_items, p), p.exp_start, p.exp_end)
-    per_user = completed_orders(items).groupBy("user_id").agg(
+    items = completed_items(t, p, p.exp_start, p.exp_end)
+    # Without a user there is no arm.
+    per_user = completed_orders(items).filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_orders"),
         F.sum("order_value").alias("_revenue"),
         F.count_if(F.col("order_value") >= F.lit(p.threshold)).alias("_big"),

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import date_lit, day, mean_of, midnight, money, ordered, ratio, share_of_rows
+from basketlens.functions import date_lit, day, mean_of, midnight, money, month, ordered, ratio, share_of_rows
 from basketlens.operators.facts import (
     completed_items,
     completed_orders,
-    items_in_window,
     materialize,
     order_totals_by_date,
 )
@@ -20,7 +19,7 @@ from basketlens.sources.tables import Tables
 
 def launch_window_order_totals(t: Tables, p: Params) -> DataFrame:
     """Order value per (order, user, day, month) for items inside the scenario window."""
-    items = items_in_window(completed_items(t.order_items, p), p.pre_start, p.post_end)
+    items = completed_items(t, p, p.pre_start, p.post_end)
     return order_totals_by_date(items)
 
 
@@ -44,6 +43,43 @@ def launch_impact(t: Tables, p: Params) -> DataFrame:
     ).orderBy(*keys)
 
 
+def launch_impact_notebook(t: Tables, p: Params) -> DataFrame:
+    """Notebook form of Task D: carts by order, channel, month and day, with the labels
+    of `p` (see `catalog.notebook_labels`)."""
+    items = completed_items(t, p, p.pre_start, p.post_end).withColumn("order_date", day("created_at"))
+    carts = (
+        items.join(t.users.withColumnRenamed("id", "user"), F.col("user_id") == F.col("user"))
+        .groupBy("order_id", "traffic_source", month("order_date").alias("order_month"), "order_date")
+        .agg(F.sum("sale_price").alias("cart"))
+    )
+    keys = ["order_month", "period", "traffic_source", "cart_segment"]
+    labelled = carts.withColumns(
+        {
+            "period": F.when(F.col("order_date") < date_lit(p.launch_date), p.pre_label).otherwise(p.post_label),
+            "cart_segment": F.when(F.col("cart") >= F.lit(p.threshold), p.at_or_above_label).otherwise(p.below_label),
+        }
+    )
+    # An order has one row for each of its days; the days of a group are summed first.
+    per_order = labelled.groupBy(*keys, "order_id").agg(F.sum("cart").alias("cart"))
+    return per_order.groupBy(*keys).agg(
+        F.count("order_id").alias("total_completed_orders"),
+        money(F.sum("cart")).alias("total_revenue"),
+        ratio(F.sum("cart"), F.count("order_id")).alias("aov"),
+    ).orderBy(*keys)
+
+
+def prepost_display(t: Tables, p: Params) -> DataFrame:
+    """The baseline as it is shown: values to 2 decimals, the share in percent to 1."""
+    b = prepost_baseline(t, p, sort=False)
+    return b.select(
+        "period",
+        "completed_orders",
+        F.round("avg_order_value", 2).alias("avg_order_value"),
+        F.round("median_order_value", 2).alias("median_order_value"),
+        F.round(F.col("pct_orders_above_threshold") * 100, 1).alias("pct_orders_above_threshold"),
+    ).orderBy(F.desc("period"))
+
+
 def prepost_orders(t: Tables, p: Params, prefilter: bool = True) -> DataFrame:
     """Completed orders in the scenario window with a period label.
 
@@ -52,12 +88,11 @@ def prepost_orders(t: Tables, p: Params, prefilter: bool = True) -> DataFrame:
     prefilter=False: orders are rolled up over all history and then cut by
     their first-item time against midnight bounds (the end day is dropped).
     """
-    items = completed_items(t.order_items, p)
     if prefilter:
-        orders = completed_orders(items_in_window(items, p.pre_start, p.post_end))
+        orders = completed_orders(completed_items(t, p, p.pre_start, p.post_end))
         pre = day("order_ts") < date_lit(p.launch_date)
     else:
-        orders = completed_orders(items).filter(
+        orders = completed_orders(completed_items(t, p)).filter(
             F.col("order_ts").between(midnight(date_lit(p.pre_start)), midnight(date_lit(p.post_end)))
         )
         pre = F.col("order_ts") < midnight(date_lit(p.launch_date))
@@ -83,9 +118,9 @@ def prepost_baseline(
     )
     if not with_median:
         return ordered(base, F.desc("period"), on=sort)
-    med = exact_quantile(o, "order_value", 0.5, by=["period"], accuracy=p.quantile_accuracy, out="median_order_value")
+    med = exact_quantile(o, "order_value", 0.5, by=["period"], out="median_order_value")
     # One row per period on both sides.
-    out = base.join(F.broadcast(med), "period", "left").select(
+    out = base.join(med, "period", "left").select(
         "period", "completed_orders", "avg_order_value", "median_order_value", "pct_orders_above_threshold"
     )
     return ordered(out, F.desc("period"), on=sort)

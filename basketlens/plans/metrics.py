@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import bucket, in_days, money, ordered, ratio
-from basketlens.operators.facts import completed_items, items_in_window
+from basketlens.operators.facts import completed_items
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
@@ -32,7 +32,7 @@ def monthly_sales(
     An order whose items fall in two periods counts once in each.
     """
     start, end = _window(p, end_date)
-    items = items_in_window(completed_items(t.order_items, p), start, end)
+    items = completed_items(t, p, start, end)
     units = F.count(F.lit(1)) if count_star else F.count("id")
     out = items.groupBy(bucket("created_at", grain).alias(grain)).agg(
         money(F.sum("sale_price")).alias("revenue"),
@@ -53,7 +53,7 @@ def monthly_funnel(
     aggregates would need. Every period with any event keeps its row.
     """
     start, end = _window(p, end_date)
-    ev = t.events.filter(in_days("created_at", start, end)).select(
+    ev = t.events_near(start, end).filter(in_days("created_at", start, end)).select(
         bucket("created_at", grain).alias(grain),
         "user_id",
         (F.col("event_type") == p.top_funnel_event).alias("_top"),
@@ -100,12 +100,11 @@ def monthly_product_metrics(
 ) -> DataFrame:
     """Sales LEFT JOIN funnel on the period, plus the conversion proxy.
 
-    The funnel side has at most one row per calendar period in the data,
-    a fixed bound independent of volume, so it is broadcast.
+    Both sides have at most one row per calendar period.
     """
     sales = monthly_sales(t, p, end_date, grain, count_star, sort=False)
     funnel = monthly_funnel(t, p, end_date, grain, sort=False)
-    j = sales.join(F.broadcast(funnel), grain, "left")
+    j = sales.join(funnel, grain, "left")
     cols = [grain, "revenue", "orders", "units", "aov"]
     if keep_funnel:
         cols += ["top_funnel_users", "converted_users"]

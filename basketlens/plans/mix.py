@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import money, month, ordered, ratio
-from basketlens.operators.facts import completed_items, items_in_window, order_month_rollup
+from basketlens.operators.facts import completed_items, order_month_rollup
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
 
 def _items(t: Tables, p: Params, history: str, end: bool) -> DataFrame:
-    items = completed_items(t.order_items, p)
     if history == "window":
-        items = items_in_window(items, p.start_date, p.end_date if end else None)
-    elif history != "all":
+        return completed_items(t, p, p.start_date, p.end_date if end else None)
+    if history != "all":
         raise ValueError(f"history must be 'window' or 'all', got {history!r}")
-    return items
+    return completed_items(t, p)
 
 
 def monthly_user_sales(t: Tables, p: Params, history: str = "window", grain: str = "item") -> DataFrame:
@@ -45,10 +44,16 @@ def first_purchase(t: Tables, p: Params, history: str = "window") -> DataFrame:
     return mus.groupBy("user_id").agg(F.min("month").alias("first_purchase_month"))
 
 
+def _known(mus: DataFrame) -> DataFrame:
+    """Without null users, whose first month is unknown: their revenue is neither new
+    nor returning."""
+    return mus.filter(F.col("user_id").isNotNull())
+
+
 def _mix(mus: DataFrame) -> DataFrame:
     # The user's first month comes from a window over the user-month rollup
     # (at most one row per month per user), not from a join back.
-    x = mus.withColumn("_first", F.min("month").over(Window.partitionBy("user_id")))
+    x = _known(mus).withColumn("_first", F.min("month").over(Window.partitionBy("user_id")))
     is_new = F.col("month") == F.col("_first")
     is_ret = F.col("month") > F.col("_first")
     zero = F.lit(0)
@@ -107,7 +112,7 @@ def customer_mix_order_grain(t: Tables, p: Params, history: str = "window", sort
 def mix_full_outer(t: Tables, p: Params) -> DataFrame:
     """Notebook form: new-revenue and returning-revenue monthly series joined
     column-wise (FULL OUTER on month) with missing sides filled with 0."""
-    mus = monthly_user_sales(t, p, history="all", grain="order")
+    mus = _known(monthly_user_sales(t, p, history="all", grain="order"))
     x = mus.withColumn("_first", F.min("month").over(Window.partitionBy("user_id")))
     new = x.filter(F.col("month") == F.col("_first")).groupBy("month").agg(F.sum("user_revenue").alias("new_revenue"))
     ret = x.filter(F.col("month") > F.col("_first")).groupBy("month").agg(

@@ -13,7 +13,7 @@ from basketlens.sources.tables import Tables
 
 
 def _all_orders(t: Tables, p: Params) -> DataFrame:
-    return completed_orders(completed_items(t.order_items, p))
+    return completed_orders(completed_items(t, p))
 
 
 def _last_order_ts(t: Tables, p: Params):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import date_lit, label_rank, midnight, month
+from basketlens.functions import date_lit, label_rank, midnight, month, ordered
 from basketlens.operators.facts import completed_items, completed_orders, max_scalar, order_month_rollup, row_scalar
 from basketlens.params import Params
 from basketlens.plans.churn import churn_90d_floor_days
@@ -49,7 +49,7 @@ def _iso(c: str | Column) -> Column:
 def analysis_context(t: Tables, p: Params) -> DataFrame:
     """Four metric/value rows, notebook semantics (midnight cutoffs)."""
     dc = _date_context(t, p)
-    orders = completed_orders(completed_items(t.order_items, p))
+    orders = completed_orders(completed_items(t, p))
     churn_max = churn_90d_floor_days(t, p, sort=False).agg(F.max("month")).scalar()
     buyers = orders.filter(F.col("order_ts") <= midnight(dc["snapshotDate"])).agg(
         F.countDistinct("user_id").alias("_buyers")
@@ -66,6 +66,19 @@ def _churn_since_start(t: Tables, p: Params) -> DataFrame:
     return c.filter(F.col("month") >= date_lit(p.start_date)) if p.start_date else c
 
 
+def mix_since_start(t: Tables, p: Params, sort: bool = True) -> DataFrame:
+    """The mix chart: months from the start to the last full one, first months over all
+    history."""
+    lfm = _date_context(t, p)["lastFullMonth"]
+    mix = customer_mix_order_grain(t, p, history="all", sort=False)
+    return ordered(mix.filter((F.col("month") >= date_lit(p.start_date)) & (F.col("month") <= lfm)), "month", on=sort)
+
+
+def churn_since_start(t: Tables, p: Params) -> DataFrame:
+    """The churn chart: notebook churn with item-month revenue from the start."""
+    return _churn_since_start(t, p).orderBy("month")
+
+
 def revenue_churn_corr(t: Tables, p: Params) -> DataFrame:
     """Pearson correlation of monthly churn rate and revenue since the start month."""
     c = _churn_since_start(t, p)
@@ -89,7 +102,7 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
     in_last12 = F.col("month").between(first12, lfm)
 
     # Item-month revenue: the base one-row relation of the summary.
-    rev = completed_items(t.order_items, p).groupBy(month("created_at").alias("month")).agg(
+    rev = completed_items(t, p).groupBy(month("created_at").alias("month")).agg(
         F.sum("sale_price").alias("rev")
     )
     base = rev.withColumn("_since", F.col("month") >= start).withColumn("_last12", in_last12).agg(
@@ -125,9 +138,9 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
     min_month = churn.filter(F.col(rate) == churn_row["min_rate"]).agg(F.min("month")).scalar()
     mature = churn_90d_floor_days(t, p, sort=False).agg(F.max("month")).scalar()
 
-    customers = customer_snapshot(t, p).agg(F.count(F.lit(1))).scalar()
+    customers = customer_snapshot(t, p).agg(F.count("user_id")).scalar()
     threshold = revenue_threshold(t, p).scalar()
-    near = p.band_labels[2]
+    near = p.near_band_label
     band_row = row_scalar(
         order_value_bands(t, p, sort=False).agg(
             F.coalesce(F.max(F.when(F.col("order_band") == near, F.col("orders"))), F.lit(0)).alias("orders"),
@@ -167,9 +180,10 @@ def _array(key: Column, fields: list[Column]) -> Column:
 def dashboard_payload(t: Tables, p: Params) -> DataFrame:
     """The published document: summary + six sections, as one JSON string."""
     s = summary_kpis(t, p)
-    r2 = lambda c: F.round(F.col(c), 2)
-    r3 = lambda c: F.round(F.col(c), 3)
-    r4 = lambda c: F.round(F.col(c), 4)
+    # Decimals, so that large amounts are written in plain digits.
+    r2 = lambda c: F.col(c).cast("decimal(24,2)")
+    r3 = lambda c: F.col(c).cast("decimal(24,3)")
+    r4 = lambda c: F.col(c).cast("decimal(24,4)")
     summary = F.struct(
         _iso("datasetMaxDate").alias("datasetMaxDate"),
         _iso("lastFullMonth").alias("lastFullMonth"),
@@ -189,11 +203,9 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
         F.col("orders75to99Last12m"),
         r2("orders75to99ShareLast12m").alias("orders75to99ShareLast12m"),
     )
-    lfm = _date_context(t, p)["lastFullMonth"]
     h = p.horizon_days
 
-    mix = customer_mix_order_grain(t, p, history="all", sort=False)
-    mix = mix.withColumn("_in", (F.col("month") >= date_lit(p.start_date)) & (F.col("month") <= lfm)).filter("_in")
+    mix = mix_since_start(t, p, sort=False)
     mix_arr = mix.agg(
         _array(F.col("month"), [
             _iso("month").alias("month"), r2("new_revenue").alias("new_revenue"),
@@ -241,4 +253,4 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
         ch_arr.alias("channelRepeat"),
         band_arr.alias("orderBandSummary"),
     )
-    return s.select(F.to_json(doc).alias("payload"))
+    return s.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))

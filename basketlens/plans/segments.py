@@ -46,7 +46,7 @@ def _build_snapshot(t: Tables, p: Params, clock: str) -> DataFrame:
             )
         )
     if clock == "ts":
-        orders = completed_orders(completed_items(t.order_items, p))
+        orders = completed_orders(completed_items(t, p))
         # Latest order time from the shared rollup, not another pass over orders.
         last = max_scalar(order_month_rollup(t, p, from_start=False), F.col("last_t"))
         cut = midnight(F.date_sub(F.trunc(last, "MM"), 1))
@@ -77,15 +77,13 @@ def customer_snapshot(t: Tables, p: Params, clock: str = "date") -> DataFrame:
 def revenue_threshold(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     """Exact 75th percentile (interpolated) of lifetime revenue; one row."""
     return exact_quantile(
-        _snapshot(t, p, clock), "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
-        out="high_value_threshold",
+        _snapshot(t, p, clock), "lifetime_revenue", p.high_value_quantile, out="high_value_threshold"
     )
 
 
 def segmented_customers(t: Tables, p: Params, clock: str = "date") -> DataFrame:
     s = _snapshot(t, p, clock)
-    thr = exact_quantile(s, "lifetime_revenue", p.high_value_quantile, accuracy=p.quantile_accuracy,
-                         out="high_value_threshold")
+    thr = exact_quantile(s, "lifetime_revenue", p.high_value_quantile, out="high_value_threshold")
     # The one-row threshold enters as a scalar subquery.
     x = s.withColumn("high_value_threshold", thr.scalar())
     recent = F.col("recency_days") <= p.recent_days
@@ -102,7 +100,7 @@ def segmented_customers(t: Tables, p: Params, clock: str = "date") -> DataFrame:
 def segment_split(t: Tables, p: Params, clock: str = "date", sort: bool = True) -> DataFrame:
     """Customers, revenue, mean orders and shares per segment, in report order."""
     g = segmented_customers(t, p, clock).groupBy("segment").agg(
-        F.count(F.lit(1)).alias("customers"),
+        F.count("user_id").alias("customers"),
         F.sum("lifetime_revenue").alias("_rev"),
         ratio(F.sum("lifetime_orders"), F.count(F.lit(1))).alias("avg_orders"),
     )

@@ -24,58 +24,54 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+REPORT = "table_name string, status string, rows long, files long, bytes long, seconds double"
+
+
 def export_tables(
     spark: SparkSession,
     names: Sequence[str],
     src_dir: str,
     dst_dir: str | None = None,
     parallelism: int = 4,
-) -> tuple[DataFrame, list[dict]]:
+) -> DataFrame:
     """Export each table (`SELECT *`), continuing past failures.
 
-    The table copies are independent jobs, submitted from a few driver
-    threads so small tables do not leave the cluster idle. Returns (report
-    DataFrame with table_name, rows, files, bytes read back from what was
-    written; per-table log with status and elapsed seconds, in input order).
-    The destination defaults to a fresh folder under the session's shared
-    checkpoint folder.
+    The table copies are independent jobs, submitted from a few driver threads so small
+    tables do not leave the cluster idle. The report has one row for each name: its
+    status ('ok', or the error's class), what was written (read back: rows, files,
+    bytes; null for a failed table) and the seconds the copy took. The destination
+    defaults to a fresh folder below the session's shared checkpoint folder; the
+    caller owns it either way.
     """
     if dst_dir is None:
         dst_dir = os.path.join(ensure_checkpoint_dir(spark), "exports", uuid.uuid4().hex)
 
-    def copy(name: str) -> dict:
-        t0 = time.time()
-        target = os.path.join(dst_dir, f"{name}.parquet")
+    def copy(name: str) -> tuple[str, str, float]:
+        began = time.time()
         try:
-            write_parquet(load(spark, src_dir, name), target)
+            write_parquet(load(spark, src_dir, name), os.path.join(dst_dir, f"{name}.parquet"))
+            status = "ok"
         except Exception as exc:  # one failing table does not stop the others
-            return {"table_name": name, "status": f"error: {exc.__class__.__name__}", "seconds": time.time() - t0}
-        return {"table_name": name, "status": "ok", "seconds": time.time() - t0, "path": target}
+            status = exc.__class__.__name__
+        return name, status, time.time() - began
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         log = list(pool.map(copy, names))
 
-    parts: list[DataFrame] = []
-    for entry in log:
-        if entry["status"] != "ok":
+    report = spark.createDataFrame([(n, s, None, None, None, t) for n, s, t in log if s != "ok"], REPORT)
+    for name, status, seconds in log:
+        if status != "ok":
             continue
-        back = spark.read.parquet(entry["path"]).select(
-            F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")
-        )
-        parts.append(
-            back.groupBy("f")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"))
-            .agg(
-                F.lit(entry["table_name"]).alias("table_name"),
-                F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
+        back = spark.read.parquet(os.path.join(dst_dir, f"{name}.parquet")).select("_metadata.file_path", "_metadata.file_size")
+        by_file = back.groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes"))
+        report = report.unionByName(
+            by_file.agg(
+                F.lit(name).alias("table_name"),
+                F.lit(status).alias("status"),
+                F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"),
                 F.count(F.lit(1)).alias("files"),
-                F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("bytes"),
+                F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),
+                F.lit(seconds).alias("seconds"),
             )
         )
-    if not parts:
-        schema = "table_name string, rows long, files long, bytes long"
-        return spark.createDataFrame([], schema), log
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.unionByName(p)
-    return report, log
+    return report

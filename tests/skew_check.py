@@ -57,7 +57,7 @@ def main() -> None:
     from basketlens.sources.fixture import fixture_tables
 
     spark.sparkContext.setJobGroup(CONTRAST, CONTRAST)
-    o = completed_orders(completed_items(fixture_tables(spark, data).order_items, fixture_params()))
+    o = completed_orders(completed_items(fixture_tables(spark, data), fixture_params()))
     w = Window.partitionBy("user_id").orderBy("order_ts", "order_id")
     o.withColumn("next_ts", F.lead("order_ts").over(w)).write.format("noop").mode("overwrite").save()
     spark.stop()

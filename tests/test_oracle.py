@@ -2,21 +2,22 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from basketlens.catalog import queries
+from basketlens.oracle import ORACLE_SQL
 from tests.compare import compare
 from tests.conftest import SF01
 
-NAMES = sorted(oracle_sql())
+NAMES = sorted(ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, duck01, name):
     df = queries()[name](spark, SF01)
-    expected = duck01.execute(oracle_sql()[name]).fetchdf()
+    expected = duck01.execute(ORACLE_SQL[name]).fetchdf()
     ok, msg, _ = compare(df, expected)
     assert ok, f"{name}: {msg}"
 
 
 def test_every_query_has_an_oracle_or_is_documented():
-    missing = set(queries()) - set(oracle_sql())
+    missing = set(queries()) - set(ORACLE_SQL)
     assert missing <= {"dashboard_payload"}, missing

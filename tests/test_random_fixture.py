@@ -12,7 +12,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from basketlens.catalog import queries
+from basketlens.oracle import ORACLE_SQL
 from tests.compare import compare, duck_views
 
 SKIP = {"export_report"}
@@ -125,10 +126,10 @@ def random_duck(random_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SKIP))
 def test_random_tables_match_oracle(spark, random_dir, random_duck, name):
     df = queries()[name](spark, random_dir)
-    ok, msg, _ = compare(df, random_duck.execute(oracle_sql()[name]).fetchdf())
+    ok, msg, _ = compare(df, random_duck.execute(ORACLE_SQL[name]).fetchdf())
     assert ok, f"{name}: {msg}"
 
 
@@ -158,7 +159,7 @@ def test_degenerate_inputs_match_oracle(spark, degenerate):
     d, con = degenerate
     bad = []
     for name in DEGENERATE_QUERIES:
-        ok, msg, _ = compare(queries()[name](spark, d), con.execute(oracle_sql()[name]).fetchdf())
+        ok, msg, _ = compare(queries()[name](spark, d), con.execute(ORACLE_SQL[name]).fetchdf())
         if not ok:
             bad.append(f"{name}: {msg}")
     assert not bad, bad
