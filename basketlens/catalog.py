@@ -149,6 +149,7 @@ METRICS: dict[str, Metric] = {
     "analysis_context": report.analysis_context,
     "summary_kpis": report.summary_kpis,
     "dashboard_payload": report.dashboard_payload,
+    "dashboard_payload_rows": report.dashboard_payload_rows,
     "mix_since_start": report.mix_since_start,
     "churn_since_start": report.churn_since_start,
     # notebook forms

@@ -118,13 +118,36 @@ def materialize(t: Tables, key: tuple, build: Callable[[], DataFrame]) -> DataFr
     return t.memo[key]
 
 
+def order_months(t: Tables, p: Params) -> DataFrame:
+    """Completed items of all history by user, order and calendar month: the one table
+    that whole-history orders, user months and monthly revenue are derived from."""
+
+    def build() -> DataFrame:
+        keys = ["user_id", "order_id", month("created_at").alias("item_month")]
+        return completed_items(t, p).groupBy(*keys).agg(F.min("created_at").alias("first_ts"), F.sum("sale_price").alias("value"))
+
+    return materialize(t, ("order_months", p), build)
+
+
+def all_orders(t: Tables, p: Params) -> DataFrame:
+    """Completed orders of all history (see `completed_orders`)."""
+    return order_months(t, p).groupBy("user_id", "order_id").agg(
+        F.min("first_ts").alias("order_ts"), F.sum("value").alias("order_value")
+    )
+
+
+def item_month_revenue(t: Tables, p: Params) -> DataFrame:
+    """Revenue by the month of the items: month, revenue (exact)."""
+    return order_months(t, p).groupBy(F.col("item_month").alias("month")).agg(F.sum("value").alias("revenue"))
+
+
 def order_month_rollup(t: Tables, p: Params, from_start: bool) -> DataFrame:
     """Materialized `user_month_orders` over completed orders (optionally only
     items from the start date on)."""
 
     def build() -> DataFrame:
-        items = completed_items(t, p, p.start_date if from_start else None)
-        return user_month_orders(completed_orders(items))
+        orders = completed_orders(completed_items(t, p, p.start_date)) if from_start else all_orders(t, p)
+        return user_month_orders(orders)
 
     return materialize(t, ("order_month_rollup", p, from_start), build)
 

@@ -30,6 +30,7 @@ from basketlens.operators.bands import count_following
 from basketlens.operators.facts import (
     completed_items,
     completed_orders,
+    item_month_revenue,
     materialize,
     max_scalar,
     order_month_rollup,
@@ -287,11 +288,10 @@ def churn_vs_revenue_full_months(t: Tables, p: Params) -> DataFrame:
 def churn_90d_floor_days(t: Tables, p: Params, sort: bool = True, full_months_only: bool = False) -> DataFrame:
     """Notebook churn: all-history orders, whole elapsed days, midnight
     boundary; joined to item-month revenue like the notebook's chart."""
-    items = completed_items(t, p)
     r = order_month_rollup(t, p, from_start=False)
     boundary = midnight(rollup_boundary(r))
     churn = churn_counts(flag_churn(r, boundary, p.horizon_days, "floor_days", full_months_only), p.horizon_days)
-    rev = items.groupBy(month("created_at").alias("month")).agg(F.sum("sale_price").alias("_revenue"))
+    rev = item_month_revenue(t, p).withColumnRenamed("revenue", "_revenue")
     out = churn.join(rev, "month", "left").select(*churn.columns, money("_revenue").alias("revenue"))
     return ordered(out, "month", on=sort)
 

@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import band, day, label_rank, mean_of, ordered, plus_days, ratio, share_of_rows
-from basketlens.operators.facts import completed_items, completed_orders, max_scalar, order_month_rollup
+from basketlens.operators.facts import all_orders, max_scalar, order_month_rollup
 from basketlens.operators.sequence import first_two_orders
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
 
 
-def _all_orders(t: Tables, p: Params) -> DataFrame:
-    return completed_orders(completed_items(t, p))
-
-
 def _last_order_ts(t: Tables, p: Params):
     """Latest completed order time, read from the shared (materialized)
     user-month rollup instead of a second pass over the orders."""
@@ -24,7 +20,7 @@ def _last_order_ts(t: Tables, p: Params):
 
 def trailing_orders(t: Tables, p: Params) -> DataFrame:
     """Orders whose day lies in the last `trailing_months` full months."""
-    orders = _all_orders(t, p)
+    orders = all_orders(t, p)
     m0 = F.trunc(_last_order_ts(t, p), "MM")
     return orders.filter(day("order_ts").between(F.add_months(m0, -p.trailing_months), F.date_sub(m0, 1)))
 
@@ -48,7 +44,7 @@ def order_value_bands(t: Tables, p: Params, sort: bool = True) -> DataFrame:
 def first_orders(t: Tables, p: Params) -> DataFrame:
     """First completed order per user (by time, then order id) and the time of
     the user's next order."""
-    return first_two_orders(_all_orders(t, p))
+    return first_two_orders(all_orders(t, p))
 
 
 def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False, sort: bool = True) -> DataFrame:
@@ -59,7 +55,7 @@ def first_order_repeat_by_channel(t: Tables, p: Params, censor: bool = False, so
     days before the last order time, so recent buyers are not counted as
     non-repeaters.
     """
-    orders = _all_orders(t, p)
+    orders = all_orders(t, p)
     f = first_two_orders(orders)
     if censor:
         f = f.filter(plus_days("order_ts", p.horizon_days) <= _last_order_ts(t, p))

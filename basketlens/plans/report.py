@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import date_lit, label_rank, midnight, month, ordered
-from basketlens.operators.facts import completed_items, completed_orders, max_scalar, order_month_rollup, row_scalar
+from basketlens.functions import date_lit, label_rank, midnight, ordered
+from basketlens.operators.facts import all_orders, item_month_revenue, max_scalar, order_month_rollup, row_scalar
 from basketlens.params import Params
 from basketlens.plans.churn import churn_90d_floor_days
 from basketlens.plans.launch import prepost_baseline
@@ -49,7 +49,7 @@ def _iso(c: str | Column) -> Column:
 def analysis_context(t: Tables, p: Params) -> DataFrame:
     """Four metric/value rows, notebook semantics (midnight cutoffs)."""
     dc = _date_context(t, p)
-    orders = completed_orders(completed_items(t, p))
+    orders = all_orders(t, p)
     churn_max = churn_90d_floor_days(t, p, sort=False).agg(F.max("month")).scalar()
     buyers = orders.filter(F.col("order_ts") <= midnight(dc["snapshotDate"])).agg(
         F.countDistinct("user_id").alias("_buyers")
@@ -102,9 +102,7 @@ def summary_kpis(t: Tables, p: Params) -> DataFrame:
     in_last12 = F.col("month").between(first12, lfm)
 
     # Item-month revenue: the base one-row relation of the summary.
-    rev = completed_items(t, p).groupBy(month("created_at").alias("month")).agg(
-        F.sum("sale_price").alias("rev")
-    )
+    rev = item_month_revenue(t, p).withColumnRenamed("revenue", "rev")
     base = rev.withColumn("_since", F.col("month") >= start).withColumn("_last12", in_last12).agg(
         F.sum(F.when(F.col("_since"), F.col("rev"))).cast("double").alias("totalRevenueSince2020"),
         F.sum(F.when(F.col("_last12"), F.col("rev"))).cast("double").alias("revenueLast12Months"),
@@ -254,3 +252,26 @@ def dashboard_payload(t: Tables, p: Params) -> DataFrame:
         band_arr.alias("orderBandSummary"),
     )
     return s.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+# The document's sections of several rows.
+SECTIONS = ["monthlyMix", "monthlyChurn", "segmentSummary", "shippingBaseline", "channelRepeat", "orderBandSummary"]
+
+
+def dashboard_payload_rows(t: Tables, p: Params) -> DataFrame:
+    """The document's values as text: section, item (place in the section, 0 for the
+    summary), field, value (numbers with four decimals). Read back from the document itself."""
+    values = "map<string,string>"
+    schema = ", ".join([f"summary {values}", *(f"{s} array<{values}>" for s in SECTIONS)])
+    doc = dashboard_payload(t, p).select(F.from_json("payload", schema).alias("d")).select("d.*")
+
+    def entry(section: str, item: Column, found: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), found.alias("values"))
+
+    def entries(section: str) -> Column:
+        return F.transform(section, lambda found, i: entry(section, i + 1, found))
+
+    items = F.concat(F.array(entry("summary", F.lit(0), F.col("summary"))), *map(entries, SECTIONS))
+    rows = doc.select(F.explode(items).alias("r")).select("r.section", "r.item", F.explode("r.values").alias("field", "value"))
+    number = F.col("value").try_cast("decimal(24,4)").cast("string")
+    return rows.select("section", F.col("item").cast("long").alias("item"), "field", F.coalesce(number, "value").alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import day, label_rank, midnight, money, ordered, ordered_case, ratio
-from basketlens.operators.facts import completed_items, completed_orders, materialize, max_scalar, order_month_rollup
+from basketlens.operators.facts import all_orders, materialize, max_scalar, order_month_rollup
 from basketlens.operators.quantile import exact_quantile
 from basketlens.params import Params
 from basketlens.sources.tables import Tables
@@ -46,7 +46,7 @@ def _build_snapshot(t: Tables, p: Params, clock: str) -> DataFrame:
             )
         )
     if clock == "ts":
-        orders = completed_orders(completed_items(t, p))
+        orders = all_orders(t, p)
         # Latest order time from the shared rollup, not another pass over orders.
         last = max_scalar(order_month_rollup(t, p, from_start=False), F.col("last_t"))
         cut = midnight(F.date_sub(F.trunc(last, "MM"), 1))
