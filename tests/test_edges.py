@@ -142,3 +142,52 @@ def test_order_exactly_at_threshold(spark):
     assert b["Pre-launch"]["pct_orders_above_threshold"] == 1.0
     assert b["Post-launch"]["pct_orders_above_threshold"] == 0.0
     assert b["Pre-launch"]["median_order_value"] == 100.0
+
+
+def test_null_customers_are_not_counted(spark):
+    items = [
+        item(1, 1, ts(2020, 1, 10), 10),
+        item(2, None, ts(2020, 1, 12), 7),  # an anonymous order in the same month
+        item(3, None, ts(2020, 2, 12), 5),
+        item(4, 2, ts(2020, 12, 31), 1),
+    ]
+    t, p = tables(spark, items), params()
+    m = _rows(mix.customer_mix_windowed(t, p), "month")
+    assert (m[date(2020, 1, 1)]["active_customers"], m[date(2020, 1, 1)]["revenue_new"]) == (1, 10.0)
+    assert date(2020, 2, 1) not in m
+    c = _rows(churn.churn_90d_windowed(t, p), "month")
+    assert c[date(2020, 1, 1)]["active_customers"] == c[date(2020, 1, 1)]["churned_customers_90d"] == 1
+    v = _rows(churn.churn_vs_revenue(t, p), "month")
+    assert (v[date(2020, 1, 1)]["active_customers"], v[date(2020, 1, 1)]["revenue"]) == (1, 17.0)
+    assert _rows(metrics.monthly_sales(t, p), "month")[date(2020, 1, 1)]["revenue"] == 17.0
+
+
+def test_horizon_zero_is_zero_days(spark):
+    t, p = tables(spark, [item(1, 1, ts(2020, 1, 10), 10), item(2, 2, ts(2020, 3, 1), 1)]), params()
+    assert "churn_rate_0d" in churn.churn_vs_revenue(t, p, horizon=0).columns
+
+
+def test_sequence_keeps_null_customers_and_splits_a_hot_one(spark):
+    from basketlens.operators.sequence import sequence
+
+    rows = [(None, n, ts(2020, 1, 1)) for n in range(3)] + [(1, n, ts(2020, 1, 1)) for n in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, order_id long, order_ts timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sequence(df, "user_id", "order_ts", "order_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted((r.user_id or 0, r.order_rank) for r in got) == sorted((u or 0, n + 1) for u, n, _ in rows)
+    assert all((r.next_ts is None) == (r.order_id == (2 if r.user_id is None else 2999)) for r in got)
+
+
+def test_document_keeps_null_fields_and_plain_digits(spark):
+    import json
+
+    from basketlens.plans import report
+
+    t, p = tables(spark, [item(1, 1, ts(2020, 1, 10), 12_345_678)], users=[(1, "Email")]), params()
+    text = report.dashboard_payload(t, p).collect()[0]["payload"]
+    doc = json.loads(text)
+    assert len(doc["summary"]) == 17 and doc["summary"]["minChurnMonth"] is None
+    assert "12345678.00" in text

@@ -50,7 +50,7 @@ def test_shares_sum_to_one(tp):
     seg = segments.segment_split(t, p).collect()
     assert math.isclose(sum(r["customer_share"] for r in seg), 1.0, rel_tol=1e-12)
     assert math.isclose(sum(r["revenue_share"] for r in seg), 1.0, rel_tol=1e-12)
-    snap = segments.customer_snapshot(t, p).count()
+    snap = segments.customer_snapshot(t, p).filter("user_id IS NOT NULL").count()
     assert sum(r["customers"] for r in seg) == snap
     bands = orders.order_value_bands(t, p).collect()
     assert math.isclose(sum(r["order_share"] for r in bands), 1.0, rel_tol=1e-12)
@@ -65,7 +65,7 @@ def test_cohort_offset_zero_is_whole_cohort(tp):
             assert r["retention_rate"] == 1.0
     assert sum(r["customers"] for r in rows if r["month_offset"] == 0) == segments.customer_snapshot(
         t, p.with_(), clock="date"
-    ).count() + _customers_in_latest_month_only(t, p)
+    ).filter("user_id IS NOT NULL").count() + _customers_in_latest_month_only(t, p)
 
 
 def _customers_in_latest_month_only(t, p):
@@ -77,7 +77,7 @@ def _customers_in_latest_month_only(t, p):
     um = order_month_rollup(t, p, from_start=False)
     m0 = um.agg(F.max("period_start")).collect()[0][0]
     first = um.groupBy("user_id").agg(F.min("period_start").alias("f"))
-    return first.filter(F.col("f") == m0).count()
+    return first.filter((F.col("f") == m0) & F.col("user_id").isNotNull()).count()
 
 
 def test_prepost_medians_lie_within_period_range(tp):
