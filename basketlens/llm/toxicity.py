@@ -40,13 +40,13 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 3000
 MAX_SAMPLE_BYTES = 200_000
-WINDOW = 128
+WINDOW = 96
 TRAIN_WINDOW = 64
 LEVEL = 9
 ORDINARY_BYTES = 16 * 1024
 TOXIC_BYTES = 110 * 1024
 # A word stays in the toxic dictionary from this z-score of its document shares on.
-CLEARLY = 4.0
+CLEARLY = 5.0
 LEAST_DOCS = 3
 # Weight of the empty text in the calibration against all samples together.
 EMPTY_SHARE = 0.05
