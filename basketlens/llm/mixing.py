@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int =
         ).withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS)),
         "mix-sizes",
     )
-    buckets = saved(base.groupBy("skey", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    buckets = base.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     sources = with_targets(
         buckets.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, max_repeats
     )
