@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from basketlens.session import ensure_checkpoint_dir
 
 PART = "_part"
+RANGES_PER_PARTITION = 4
 
 
 def saved(df: DataFrame, folder: str = "basketlens-tables") -> DataFrame:
@@ -29,6 +30,9 @@ def saved(df: DataFrame, folder: str = "basketlens-tables") -> DataFrame:
 def in_ranges(df: DataFrame, *by: str) -> DataFrame:
     """The frame, saved, with the number of each row's range of `by` in `_part`.
 
-    Saving fixes the ranges: they are sampled anew whenever they are computed.
+    Saving fixes the ranges: they are sampled anew whenever they are computed. There are
+    several ranges to a shuffle partition, so that a hot key's ranges, dealt out by a
+    hash, even out.
     """
-    return saved(df.repartitionByRange(*by).withColumn(PART, F.spark_partition_id()))
+    ranges = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.repartitionByRange(ranges, *by).withColumn(PART, F.spark_partition_id()))
