@@ -9,9 +9,12 @@ unbiased estimate of the cosine; its error bound follows from the correction. On
 pairs whose bound reaches the threshold are computed again from the vectors in double
 precision, and only pairs that then reach it are links.
 
-Pairs to estimate come from bands: keys of a few sampled code bits, as many bands as
-find a pair at the threshold with the chance `recall`. Keys widen with the number of
-vectors, so groups keep their size. A pair is dealt with in its first common band alone,
+Pairs to estimate come from bands: keys of a few bits sampled from a signature, the sides
+of `SIGNATURE` independent random planes. All bands draw from the one signature, so
+their number follows from the recall expected over its differing bits, which are
+binomial: a pair at the threshold gets a common key with the chance `recall`. (The code
+has too few bits for that: bands of it miss a pair all together.) Keys widen with the
+number of vectors, so groups keep their size. A pair is dealt with in its first common band alone,
 so links are counted exactly without listing pairs. Keys of more than `MOST` vectors are
 cut into blocks (see `groups`).
 
@@ -23,9 +26,10 @@ null id counts as the largest. Other columns are ignored. Empty input gives an e
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, lgamma, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,12 @@ RECALL = 0.997
 CONFIDENCE = 3.0
 MOST = 2048
 SMALL = 12
+# Bits that the bands sample; a multiple of 8, far more than a key has.
+SIGNATURE = 1024
 SEED = 20
 
-CODED = "key long, dimension int, band int, cid long, code binary, correction float, levels binary, low float, step float"
-INVOLVED = "key long, band int, cid long, code binary, large boolean"
+CODED = "key long, dimension int, band int, cid long, code binary, signature binary, correction float, levels binary, low float, step float"
+INVOLVED = "key long, band int, cid long, signature binary, large boolean"
 LINKED = "key long, cid long, root long, links long, large boolean"
 
 
@@ -61,23 +67,51 @@ def _rotation(dimension: int) -> np.ndarray:
     return np.linalg.qr(noise)[0]
 
 
+@lru_cache(maxsize=4)
+def _planes(dimension: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dimension, SIGNATURE]).standard_normal((SIGNATURE, dimension))
+
+
+def expected_recall(width: int, count: int, threshold: float) -> float:
+    """The chance of a pair at the threshold to have a common key, over the differing
+    bits of its signatures."""
+    differing = np.arange(SIGNATURE + 1)
+    of = np.array([lgamma(n + 1) for n in differing])
+    apart = min(max(acos(threshold) / pi, 1e-12), 1 - 1e-12)
+    share = of[-1] - of - of[::-1] + differing * log(apart) + (SIGNATURE - differing) * log1p(-apart)
+    equal = np.zeros(SIGNATURE + 1)
+    some = SIGNATURE - differing >= width
+    left = SIGNATURE - differing[some]
+    equal[some] = np.exp(of[left] - of[left - width] - of[-1] + of[SIGNATURE - width])
+    return float(np.exp(share) @ (1 - (1 - np.minimum(equal, 1)) ** count))
+
+
 def bands(vectors: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a key, number of bands) for so many vectors."""
     width = min(32, max(8, round(log2(max(vectors, 1))) - 2))
-    equal = (1 - acos(threshold) / pi) ** width
-    return width, ceil(log(1 - recall) / log(1 - equal))
+    count = 1
+    while expected_recall(width, count, threshold) < recall:
+        count *= 2
+    fewer = range(count // 2 + 1, count + 1)
+    return width, fewer[bisect_left(fewer, recall, key=lambda n: expected_recall(width, n, threshold))]
 
 
 @lru_cache(maxsize=8)
-def _chosen(bits: int, width: int, count: int) -> np.ndarray:
-    rng = np.random.default_rng([SEED, bits, width])
-    return np.array([rng.choice(bits, width, replace=False) for _ in range(count)])
+def _chosen(width: int, count: int) -> np.ndarray:
+    rng = np.random.default_rng([SEED, SIGNATURE, width])
+    return np.array([rng.choice(SIGNATURE, width, replace=False) for _ in range(count)])
+
+
+def _signatures(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ _planes(vectors.shape[1]).T > 0
 
 
 def _band_keys(bits: np.ndarray, dimension: int, width: int, count: int) -> np.ndarray:
-    """(rows, bands) keys from rows of code bits."""
-    chosen = _chosen(bits.shape[1], width, count)
-    values = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+    """(rows, bands) keys from rows of signature bits."""
+    weights = np.int64(1) << np.arange(width, dtype=np.int64)
+    values = np.empty((len(bits), count), dtype=np.int64)
+    for band, chosen in enumerate(_chosen(width, count)):
+        values[:, band] = bits[:, chosen].astype(np.int64) @ weights
     return (np.int64(dimension) << 43) | (np.arange(count, dtype=np.int64)[None, :] << 33) | values
 
 
@@ -100,9 +134,12 @@ def _coder(width: int, count: int):
                 some = batch.filter(pa.array(sizes == dimension))
                 for at in range(0, some.num_rows, 1024):
                     rows = some.slice(at, 1024)
-                    bits, correction, levels, low, step = encode(matrix(rows.column("vector"), np.float64))
-                    keys = _band_keys(bits, int(dimension), width, count)
+                    vectors = matrix(rows.column("vector"), np.float64)
+                    bits, correction, levels, low, step = encode(vectors)
+                    sides = _signatures(vectors)
+                    keys = _band_keys(sides, int(dimension), width, count)
                     code = [c.tobytes() for c in np.packbits(bits, axis=1)]
+                    signature = [c.tobytes() for c in np.packbits(sides, axis=1)]
                     packed = [c.tobytes() for c in levels[:, ::2] << 4 | levels[:, 1::2]]
                     n = rows.num_rows
                     columns = [
@@ -111,12 +148,13 @@ def _coder(width: int, count: int):
                         pa.array(np.tile(np.arange(count, dtype=np.int32), n)),
                         pa.array(np.repeat(rows.column("cid").to_numpy(), count)),
                         pa.array(code, pa.binary()).take(pa.array(np.repeat(np.arange(n), count))),
+                        pa.array(signature, pa.binary()).take(pa.array(np.repeat(np.arange(n), count))),
                         pa.array(np.repeat(correction.astype(np.float32), count)),
                         pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(n), count))),
                         pa.array(np.repeat(low.astype(np.float32), count)),
                         pa.array(np.repeat(step.astype(np.float32), count)),
                     ]
-                    names = ["key", "dimension", "band", "cid", "code", "correction", "levels", "low", "step"]
+                    names = ["key", "dimension", "band", "cid", "code", "signature", "correction", "levels", "low", "step"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -156,7 +194,7 @@ def _pairs(rows: pa.RecordBatch, passes, square) -> Iterator[tuple[np.ndarray, n
 
 def _first_band(rows: pa.RecordBatch, width: int, count: int):
     """A test of pairs: no band before the one at hand has both under one key."""
-    bits = np.unpackbits(byte_matrix(rows.column("code")), axis=1)
+    bits = np.unpackbits(byte_matrix(rows.column("signature")), axis=1)
     band = rows.column("band").to_numpy()
     keys = _band_keys(bits, 0, width, count)
 
@@ -225,9 +263,9 @@ def _estimated(threshold: float, confidence: float, width: int, count: int):
                 for rows in _by_dimension(found) if whole else [_one_of_each(found)]:
                     if whole:
                         rows = rows.filter(pa.array(rows_to_check(rows)))
-                    columns = [rows.column(c) for c in ("home", "band", "cid", "code")]
+                    columns = [rows.column(c) for c in ("home", "band", "cid", "signature")]
                     columns.append(pa.array(np.full(rows.num_rows, not whole)))
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "band", "cid", "code", "large"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "band", "cid", "signature", "large"])
 
         return run
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from basketlens.llm import rabitq
 from basketlens.llm.rabitq import bands, encode, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, n long, key string"
@@ -83,5 +84,24 @@ def test_keys_widen_with_the_input():
     assert bands(1 << 12, 0.95, 0.99)[0] < bands(1 << 24, 0.95, 0.99)[0]
 
 
+@pytest.mark.parametrize("bits", [20, 30])
+def test_wide_keys_keep_their_recall(spark, monkeypatch, bits):
+    rng = np.random.default_rng(12)
+    base, other = rng.standard_normal((2, 3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.9501 * base + np.sqrt(1 - 0.9501**2) * other
+    vectors = np.vstack([base, near])
+    want = (vectors @ vectors.T >= 0.95).sum() - len(vectors)
+    assert want == 6000
+    keys = bands(1 << bits, rabitq.THRESHOLD, rabitq.RECALL)  # as for 2 ** bits vectors
+    assert keys[0] == bits - 2
+    monkeypatch.setattr(rabitq, "bands", lambda *_: keys)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = near_duplicates(frame, confidence=6.0).agg({"n_links": "sum"}).first()[0]
+    assert 0.994 * want <= got <= want
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
