@@ -14,7 +14,9 @@ every document and different values never share one:
 
 Cases: a null text stays null; a text without finds is unchanged, byte for byte; what
 fails its check is left alone. Values at the same place may overlap only
-once: the first kind in `KINDS` that fits from the left wins. Repeated rows are treated
+once: the first kind in `KINDS` that fits from the left wins. A card beside other numbers
+(expiry, security code, item number) is found at each number of their run, and of
+overlapping ones with a right check digit the first is replaced. Repeated rows are treated
 alike. All other columns are passed on as they are.
 """
 
@@ -34,8 +36,15 @@ KINDS = {
     "phone": r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+# Card numbers are looked for within a whole run of numbers with one blank or hyphen
+# between, up to a number where another kind begins: those in a usual grouping at any
+# number of the run, then others of 13 to 19 digits in what is left.
+_NUMBER = r"\d++(?!\w|-(?!\d++(?!\w)))"
+_NEXT = "|".join(KINDS[k] for k in ("email", "ip", "phone", "ssn", "date"))
+KINDS["card"] = rf"(?<![\w-])(?=(?:\d[ -]?){{13}}){_NUMBER}(?:[ -](?!{_NEXT}){_NUMBER})*+"
+USUAL = r"(?<!\d)(?=((?:(?:\d{4}[ -]){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d))?)\d++"
+FREE = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 ANY = "|".join(KINDS.values())
 # No find is without one of these.
 HINT = r"[0-9@]"
@@ -225,10 +234,84 @@ def _card(m: Column, secret: str) -> Column:
     )
     joined = _once(new, lambda s: F.concat(_padded(s["a"], cut), _padded(s["b"], n - cut)))
     made = _once(joined, lambda d: _filled(m, F.concat(d, _check_digit(d))))
-    return F.when(_check_digit(body) == F.right(digits, F.lit(1)), made)
+    return F.when(_valid(m), made)
 
 
-_MAKERS = {"email": _email, "secret": _secret, "key": _key, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+def _valid(m: Column) -> Column:
+    """Whether the check digit of a card is right."""
+    digits = _digits(m)
+    return _check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
+
+
+def _free_cards(m: Column, secret: str) -> Column:
+    """struct(n, text): m with the cards of any grouping replaced, and their number."""
+    found = F.transform(
+        F.regexp_extract_all(m, F.lit(FREE), F.lit(0)),
+        lambda c: _once(_card(c, secret), lambda t: F.struct(t.isNotNull().alias("good"), F.coalesce(t, c).alias("text"))),
+    )
+
+    def joined(f: Column) -> Column:
+        parts = F.zip_with(F.split(m, FREE, -1), f["text"], lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.struct(F.size(F.filter(f, lambda c: c["good"])).alias("n"), F.array_join(parts, "").alias("text"))
+
+    return _once(found, joined)
+
+
+def _cards(m: Column, secret: str) -> Column:
+    """The like for a run of numbers, those in a usual grouping first."""
+    # By number of the run: how many numbers the card that begins there has, or 0.
+    lengths = F.transform(
+        F.regexp_extract_all(m, F.lit(USUAL), F.lit(1)),
+        lambda c: F.when((c != "") & _valid(c), F.size(F.split(c, "[ -]"))).otherwise(0),
+    )
+    numbers = F.regexp_extract_all(m, F.lit(r"\d++[ -]?"), F.lit(0))
+
+    def starts(length: Column) -> Column:
+        # Numbers are counted from 1. The last start is behind the run.
+        begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+
+        def step(s: Column, i: Column) -> Column:
+            more = F.struct((i + F.element_at(length, i)).alias("next"), F.concat(s["at"], F.array(i)).alias("at"))
+            return F.when((F.element_at(length, i) > 0) & (i >= s["next"]), more).otherwise(s)
+
+        kept = F.aggregate(F.sequence(F.lit(1), F.size(length)), begin, step, lambda s: s["at"])
+        return F.concat(kept, F.array(F.size(length) + 1))
+
+    def text(numbers: Column, first: Column, behind: Column) -> Column:
+        return F.array_join(F.slice(numbers, first, behind - first), "")
+
+    def pieces(x: Column) -> Column:
+        at, length, numbers = x["at"], x["length"], x["numbers"]
+
+        def piece(to: Column, k: Column) -> Column:
+            # What stands before the k-th start, and the card there.
+            before = F.element_at(at, F.greatest(k, F.lit(1)))
+            since = F.when(k > 0, before + F.element_at(length, F.least(before, F.size(length)))).otherwise(1)
+            rest = _free_cards(text(numbers, since, to), secret)
+            last = to > F.size(length)
+            card = text(numbers, to, to + F.when(last, 0).otherwise(F.element_at(length, F.least(to, F.size(length)))))
+            bare = F.regexp_replace(card, "[ -]$", "")
+            new = F.when(last, F.lit("")).otherwise(
+                F.concat(_card(bare, secret), F.substr(card, F.length(bare) + 1, F.length(card)))
+            )
+            return _once(
+                rest, lambda r: F.struct((r["n"] + F.when(last, 0).otherwise(1)).alias("n"), F.concat(r["text"], new).alias("text"))
+            )
+
+        return F.transform(at, piece)
+
+    def joined(p: Column) -> Column:
+        n = F.aggregate(p, F.lit(0), lambda total, x: total + x["n"])
+        return F.struct(n.alias("n"), F.array_join(F.transform(p, lambda x: x["text"]), "").alias("text"))
+
+    x = _once(
+        F.struct(lengths.alias("length"), numbers.alias("numbers")),
+        lambda y: F.struct(starts(y["length"]).alias("at"), y["length"].alias("length"), y["numbers"].alias("numbers")),
+    )
+    return _once(_once(x, pieces), joined)
+
+
+_MAKERS = {"email": _email, "secret": _secret, "key": _key, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date}
 
 
 def _kind(m: Column) -> Column:
@@ -239,13 +322,15 @@ def _kind(m: Column) -> Column:
 
 
 def _pseudonym(m: Column, secret: str) -> Column:
-    """struct(kind, text): kind is null where the find fails its check."""
+    """struct(kinds, text): the kinds replaced in a find, none where it fails its check."""
 
     def made(kind: Column) -> Column:
         new = F.lit(None).cast("string")
         for name, maker in _MAKERS.items():
             new = F.when(kind == name, maker(m, secret)).otherwise(new)
-        return _once(new, lambda t: F.struct(F.when(t.isNotNull(), kind).alias("kind"), F.coalesce(t, m).alias("text")))
+        one = _once(new, lambda t: F.struct(F.when(t.isNotNull(), 1).otherwise(0).alias("n"), F.coalesce(t, m).alias("text")))
+        found = F.when(kind == "card", _cards(m, secret)).otherwise(one)
+        return _once(found, lambda f: F.struct(F.array_repeat(kind, f["n"]).alias("kinds"), f["text"].alias("text")))
 
     return _once(_kind(m), made)
 
@@ -265,6 +350,5 @@ def pseudonymized(docs: DataFrame, secret: str, found: str | None = None) -> Dat
     joined = F.array_join(F.zip_with(between, texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = out.withColumn("text", F.when(F.size(new) > 0, joined).otherwise(text))
     if found:
-        kinds = F.filter(F.transform(F.col(new), lambda p: p["kind"]), lambda k: k.isNotNull())
-        out = out.withColumn(found, kinds)
+        out = out.withColumn(found, F.flatten(F.transform(F.col(new), lambda p: p["kinds"])))
     return out.drop(new)

@@ -141,5 +141,30 @@ def test_values_stay_apart_and_valid(spark):
     assert not set(new) & set(other)
 
 
+def test_cards_beside_other_numbers(spark):
+    c, c2, amex = "4111 1111 1111 1111", "4067-0455-6002-4629", "3782 822463 10005"
+    odd = "40 6704 556002 4629"
+    rows = [
+        (f"{c} 12/25", f"{card(c)} 12/25", 1),
+        (f"{c} 123", f"{card(c)} 123", 1),
+        (f"7 {c}", f"7 {card(c)}", 1),
+        (f"1234 {c} 1234", f"1234 {card(c)} 1234", 1),
+        (f"2025-{c2}-12", f"2025-{card(c2)}-12", 1),
+        (f"12 {amex} 1234, {odd}", f"12 {card(amex)} 1234, {card(odd)}", 2),
+        (f"3 4111111111111111 {c} {c2} 9", f"3 {card('4111111111111111')} {card(c)} {card(c2)} 9", 3),
+        (f"{c} {odd}", f"{card(c)} {card(odd)}", 2),
+        (f"5 {c} 1984-02-29 207-555-5390", f"5 {card(c)} {date(1984, 2, 29)} {phone('207-555-5390')}", 3),
+        (f"{c} 81.237.141.155 5 bob@x.com", f"{card(c)} {ip('81.237.141.155')} 5 {email('bob@x.com')}", 3),
+        (f"{c} 12x {c}x x{c2}", f"{card(c)} 12x {c}x x{c2}", 1),
+        (f"{c} 1{' 2' * 30_000} {c}", f"{card(c)} 1{' 2' * 30_000} {card(c)}", None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymized(frame, KEY, found="found").collect()}
+    for i, (_, want, n) in enumerate(rows[:-1]):
+        assert (got[i].text, len(got[i].found)) == (want, n)
+    long = got[len(rows) - 1].text
+    assert len(long) == len(rows[-1][0]) and long.startswith(card(c)) and long.endswith(card(c))
+
+
 def test_empty(spark):
     assert pseudonymized(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
