@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from basketlens.llm import maxent, mixing, packing, pivots, pseudonyms, rabitq, simhash, toxicity, url_rules, warc
+from pyspark.sql import functions as F
+
+from basketlens.llm import (
+    maxent,
+    mixing,
+    packing,
+    pivots,
+    pseudonyms,
+    rabitq,
+    repeats,
+    simhash,
+    spelling,
+    toxicity,
+    url_rules,
+    warc,
+    whitening,
+)
 from basketlens.llm.common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +91,21 @@ def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +117,9 @@ QUERIES: dict[str, Query] = {
     "op8_maxent": op8_maxent,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_pivots": op10_pivots,
+    "op11_repeats": op11_repeats,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -155,4 +188,46 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_repeats": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT row, id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(words) - 48)) t(i)),
+r AS (SELECT row, i FROM (SELECT *, min(id) OVER (PARTITION BY h) AS least FROM w) WHERE least < id),
+gone AS (SELECT row, list(DISTINCT k) AS gone FROM r, unnest(range(i, i + 50)) t(k) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(
+         list_filter(words, lambda x, k: NOT list_contains(gone, k)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (row)""",
+    "op13_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents)
+  GROUP BY ALL),
+step AS (  -- the table of CRC-32, reflected polynomial 0xEDB88320
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) t(i)),
+digests AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex) + 1, 2), lambda i: ('0x' || substr(hex, i, 2))::BIGINT)),
+                                 lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hex FROM runs), step),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM digests)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM words, unnest(range(1, length(word) + 1)) t(i)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.less = b.less AND a.word <> b.word
+  WHERE length(a.word) = length(b.word) AND levenshtein(a.word, b.word) = 1
+  UNION SELECT a.word, a.less FROM cut a JOIN words w ON a.less = w.word
+  UNION SELECT a.less, a.word FROM cut a JOIN words w ON a.less = w.word),
+best AS (SELECT p.word, count(*) AS n_near, min(struct_pack(minus := -w.n, near := p.near)) AS b FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.minus >= 10 * w.n THEN b.near END AS form,
+         CASE WHEN -b.minus >= 10 * w.n THEN (-b.minus)::BIGINT END AS form_n
+  FROM words w LEFT JOIN best ON w.word = best.word),
+walk AS (SELECT word, word AS root, form AS next FROM forms
+         UNION ALL SELECT walk.word, walk.next, f.form FROM walk JOIN forms f ON f.word = walk.next)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk ON walk.word = f.word AND walk.next IS NULL""",
 }
