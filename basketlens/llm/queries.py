@@ -216,10 +216,9 @@ words AS (
   SELECT word, sum(k)::BIGINT AS n
   FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM digests)
   WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
-cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM words, unnest(range(1, length(word) + 1)) t(i)),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM words, unnest(range(1, length(word) + 1)) t(i)),
 pairs AS (
-  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.less = b.less AND a.word <> b.word
-  WHERE length(a.word) = length(b.word) AND levenshtein(a.word, b.word) = 1
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
   UNION SELECT a.word, a.less FROM cut a JOIN words w ON a.less = w.word
   UNION SELECT a.less, a.word FROM cut a JOIN words w ON a.less = w.word),
 best AS (SELECT p.word, count(*) AS n_near, min(struct_pack(minus := -w.n, near := p.near)) AS b FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
