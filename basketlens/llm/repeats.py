@@ -42,8 +42,8 @@ from basketlens.llm.common import in_arrow, key, saved, unkey
 
 WINDOW = 50
 # Words of a chunk, and text bytes whose hashes go to one bucket.
-CHUNK = 1 << 20
-BUCKET_BYTES = 32 << 20
+CHUNK = 1 << 19
+BUCKET_BYTES = 8 << 20
 
 KEYS = "id long, digest binary"
 PACKED = "key long, chunk long, bucket int, hashes binary, checks binary, places binary, starts binary, ids binary, digests binary"
@@ -237,7 +237,8 @@ def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
     """Rows of each key of rows in key order; a directory is a group of its own."""
     held, now = [], None
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             if row["bucket"] < 0:
                 yield -1, [row]
                 continue
@@ -253,7 +254,7 @@ def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Places of all rows, and the number of each one's row."""
     places = [unpacked(r["places"]) for r in rows]
-    return np.concatenate(places), np.repeat(np.arange(len(rows)), [len(p) for p in places])
+    return np.concatenate(places), np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in places])
 
 
 def _answers(rows: list[dict], places: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
