@@ -71,6 +71,14 @@ def unkey(column: str | Column) -> Column:
     return F.when(c != NO_ID, c)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, or a longer one, that is no column of the frames."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rest_of_crc32(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n (null for a null id)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)).cast("int")

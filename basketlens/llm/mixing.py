@@ -6,13 +6,17 @@ and with it, divided by the source's weight. All copies are sorted by that time
 and taken until the budget (all words of the input) is spent; a source whose queue
 runs out leaves its share to the others by weight, which is what `target` states.
 
-Running sums are two-level, so no source is summed in one task: a source is cut
-into digest buckets whose sums give each bucket its start, and the global order is cut
-into ranges in the same way.
+Documents that are equal in source, id, size and text are one class with a count until
+each one's finish time is known, so that a class may hold a third of all rows. Running
+sums are two-level, so no source is summed in one task: a source is cut into digest
+buckets, whose number grows with the classes and whose sums give each its start, and the
+global order is cut into ranges in the same way. Classes are counted out to their documents in
+blocks that are dealt to all tasks.
 
 Cases: a null text has no words; a null source is a source of its own, last in
-order; null ids shuffle like any other and tie last. Rows equal in source, id and
-size share one finish time and are taken alike. A source without words has target 0.
+order; null and repeated ids are documents like any other, told apart by their texts. Of
+equal documents the mix may take a part, and which they are makes no difference to its words.
+A text of any length is counted whole. A source without words has target 0.
 Empty input gives an empty result. Other columns never take part.
 """
 
@@ -23,9 +27,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import WORD, key, saved
+from basketlens.llm.common import WORD, key, saved, unused
 
-BUCKET_DIGITS = 3  # hex digits of the digest: 4096 buckets for each source
+# Classes of a source that one bucket holds on average, and documents of a class in one block.
+IN_BUCKET = 4096
+IN_BLOCK = 4096
 
 
 def words() -> Column:
@@ -101,56 +107,94 @@ def _place(copy: Column) -> Column:
         F.col("id").alias("id"),
         F.col("size").alias("size"),
         copy.cast("int").alias("copy"),
+        F.col("nth").alias("nth"),
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """One row for each document row: doc_id, id, skey, size, source_size, target,
-    copies (0 to max_repeats, how often the mix takes it) and taken (words)."""
-    base = saved(
-        docs.select(
-            "doc_id",
-            key("doc_id").alias("id"),
-            source_key().alias("skey"),
-            words().alias("size"),
-            F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("digest"),
-        ).withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS)),
-        "mix-sizes",
-    )
-    buckets = base.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
-    sources = with_targets(
-        buckets.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, max_repeats
+def described(seed: str) -> list[Column]:
+    """A document as the mix sees it: doc_id, id, skey, size, and a digest of id and text."""
+    content = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    spelled = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), content)
+    return [
+        F.col("doc_id"),
+        key("doc_id").alias("id"),
+        source_key().alias("skey"),
+        words().alias("size"),
+        F.md5(spelled).alias("digest"),
+    ]
+
+
+def _queued(rows: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """One row for each document of described rows, saved: its class, its number in it (from
+    1), and the words of its source up to and with it."""
+    a_class = ["doc_id", "id", "skey", "size", "digest"]
+    classes = saved(rows.groupBy(*a_class).agg(F.count(F.lit(1)).alias("count")), "mix-classes")
+    shares = classes.groupBy("skey").agg(
+        F.sum(F.col("size") * F.col("count")).alias("source_size"), F.count(F.lit(1)).alias("classes")
     )
+    sources = saved(with_targets(shares, weights, max_repeats), "mix-sources")
+    # Equal parts of the digests' range, as many as the source needs.
+    parts = F.ceil(F.col("classes") / IN_BUCKET)
+    part = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("parts") / (1 << 32)).cast("long")
+    dealt = classes.join(sources.withColumn("parts", parts).drop("classes"), "skey").withColumn("bucket", part).drop("parts")
+    buckets = dealt.groupBy("skey", "bucket").agg(F.sum(F.col("size") * F.col("count")).alias("words"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select(
-        "skey", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start")
-    ).join(sources, "skey")
-    # The default frame counts peers together: equal rows get one finish time.
-    inside = Window.partitionBy("skey", "bucket").orderBy("digest", "id", "size")
-    queued = saved(
-        base.join(starts, ["skey", "bucket"])
-        .withColumn("cum", F.col("start") + F.sum("size").over(inside))
-        .drop("bucket", "start"),
+    starts = buckets.select("skey", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("skey", "bucket").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("count")).over(inside), F.lit(0))
+    placed = dealt.join(starts, ["skey", "bucket"]).withColumn("before", before).drop("bucket", "start")
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / IN_BLOCK))))
+    first = F.col("block") * IN_BLOCK
+    numbers = F.sequence(first + 1, F.least(F.col("count"), first + IN_BLOCK))
+    return saved(
+        blocks.repartition("digest", "block")
+        .withColumn("nth", F.explode(numbers))
+        .withColumn("cum", F.col("before") + F.col("nth") * F.col("size"))
+        .drop("before", "block"),
         "mix-queue",
     )
+
+
+def _taken(rows: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """The queue with `copies`, how often the mix takes each document."""
+    queued = _queued(rows, weights, max_repeats)
     last = _cutoff(queued, max_repeats).scalar()
     copies = sum(((_place(F.lit(c)) <= F.col("last")).cast("int") for c in range(1, max_repeats + 1)), F.lit(0))
-    return (
-        queued.withColumn("last", last)
-        .withColumn("copies", F.coalesce(copies, F.lit(0)))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "id", "skey", "size", "source_size", "target", "copies", "taken")
+    return queued.withColumn("last", last).withColumn("copies", F.coalesce(copies, F.lit(0))).drop("last")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """One row for each document row: doc_id, id, skey, digest, size, source_size, target,
+    copies (0 to max_repeats, how often the mix takes it) and taken (words)."""
+    return _taken(docs.select(*described(seed)), weights, max_repeats).select(
+        "doc_id", "id", "skey", "digest", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: every document row as often as the mix takes it, with the
     input's columns."""
-    plan = mix(docs, **options).filter("copies > 0").select("id", "skey", "size", "copies").distinct()
-    kept = docs.withColumns({"__id": key("doc_id"), "__skey": source_key(), "__size": words()})
-    plan = plan.toDF("__id", "__skey", "__size", "__copies")
-    return (
-        kept.join(plan, ["__id", "__skey", "__size"])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
-    )
+    row, part, copies = unused("row", docs), unused("part", docs), unused("copies", docs)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.spark_partition_id())
+    numbered = saved(numbered, "mix-numbered")
+    # Words and digests are taken once.
+    numbers = [F.col(row).alias("row"), F.col(part).alias("part")]
+    seen = saved(numbered.select(*numbers, *described(seed)), "mix-seen")
+    plan = _taken(seen.drop("row", "part"), weights, max_repeats)
+    a_class = ["skey", "id", "size", "digest"]
+    # Equal documents get their class's copies evenly, the first of them one more each.
+    shared = plan.groupBy(*a_class).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("count")).filter("copies > 0")
+    even, more = F.floor(F.col("copies") / F.col("count")), F.pmod(F.col("copies"), F.col("count"))
+    shared = saved(shared.select(*a_class, even.alias("even"), more.alias("more")), "mix-shared")
+    taking = seen.join(shared, a_class).select("row", "part", *a_class, "even", "more")
+    whole = taking.filter("more = 0").select("row", F.col("even").alias("n"))
+    split = taking.filter("more > 0")
+    # Their order within a class in two levels: the part of the table, then the row.
+    counts = split.groupBy(*a_class, "part").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy(*a_class).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*a_class, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    at = F.row_number().over(Window.partitionBy(*a_class, "part").orderBy("row")) + F.col("offset")
+    split = split.join(offsets, [*a_class, "part"]).withColumn("n", F.col("even") + (at <= F.col("more")).cast("int"))
+    times = whole.unionByName(split.select("row", "n")).filter("n > 0").toDF(row, copies)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return numbered.join(times, row).withColumn(copies, each).select(*docs.columns)

@@ -12,11 +12,15 @@ every document and different values never share one:
   strings; a round shifts each character of one half within its alphabet by a keystream
   of the other half. Separators, letter case and domain stay.
 
+Dates are those of the years 1800 to 2199 as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy
+and mm/dd/yyyy (where the second number can't be a month), alone or before a time (T..).
+
 Cases: a null text stays null; a text without finds is unchanged, byte for byte; what
 fails its check is left alone. Values at the same place may overlap only
 once: the first kind in `KINDS` that fits from the left wins. A card beside other numbers
 (expiry, security code, item number) is found at each number of their run, and of
-overlapping ones with a right check digit the first is replaced. Repeated rows are treated
+overlapping ones with a right check digit the first is replaced. Texts of any length are
+searched whole, within one row. Repeated rows are treated
 alike. All other columns are passed on as they are.
 """
 
@@ -25,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import unused
+
 ROUNDS = 8
 
 # The formats, in order of preference.
@@ -35,7 +41,7 @@ KINDS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "phone": r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?![\w-])",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!(?!T\d{2}:)[\w/-])",
 }
 # Card numbers are looked for within a whole run of numbers with one blank or hyphen
 # between, up to a number where another kind begins: those in a usual grouping at any
@@ -46,10 +52,12 @@ KINDS["card"] = rf"(?<![\w-])(?=(?:\d[ -]?){{13}}){_NUMBER}(?:[ -](?!{_NEXT}){_N
 USUAL = r"(?<!\d)(?=((?:(?:\d{4}[ -]){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d))?)\d++"
 FREE = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 ANY = "|".join(KINDS.values())
-# No find is without one of these.
-HINT = r"[0-9@]"
+# No find is without one of these: all others have a digit or an @.
+HINT = r"[0-9@]|AKIA[A-Z]{16}|(?i:password|passwd|token|secret|api_key)"
 # 400 years of the calendar are 146,097 days, or 189 times 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+# 88,497 of them are later than the 12th of their 4,800 months, or 9 times 9,833.
+LATE_DAYS, MONTHS = (9, 9833), 4800
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = ("0123456789abcdef",)
 
@@ -208,19 +216,38 @@ def _ssn(m: Column, secret: str) -> Column:
 def _date(m: Column, secret: str) -> Column:
     digits = _digits(m)
     year_first = F.length(F.regexp_extract(m, r"^\d+", 0)) == 4
+    # Of nn/nn/yyyy the second is the day where it can't be a month. Such dates stay
+    # among themselves, so that their pseudonyms read the same way.
+    late = ~year_first & F.regexp_like(m, F.lit("/")) & (F.substring(digits, 3, 2) > "12")
+    first_two, next_two = F.substring(digits, 1, 2), F.substring(digits, 3, 2)
     year = F.when(year_first, F.substring(digits, 1, 4)).otherwise(F.substring(digits, 5, 4))
-    month = F.when(year_first, F.substring(digits, 5, 2)).otherwise(F.substring(digits, 3, 2))
-    day = F.when(year_first, F.substring(digits, 7, 2)).otherwise(F.substring(digits, 1, 2))
+    month = F.when(year_first, F.substring(digits, 5, 2)).when(late, first_two).otherwise(next_two)
+    day = F.when(year_first, F.substring(digits, 7, 2)).when(late, next_two).otherwise(first_two)
     when = F.concat_ws("-", year, month, day).try_cast("date")
-    first, (a, b) = F.lit(FIRST_DAY).cast("date"), DAYS
+    first, (a, b), (c, d) = F.lit(FIRST_DAY).cast("date"), DAYS, LATE_DAYS
     n = F.datediff(when, first)
     new = permuted(F.floor(n / b), F.pmod(n, F.lit(b)), F.lit(a), F.lit(b), "date", secret)
+    months = (F.year(when) - F.year(first)) * 12 + F.month(when) - 1
+    rank = n - 12 * (months + 1)
+    new_late = permuted(F.floor(rank / d), F.pmod(rank, F.lit(d)), F.lit(c), F.lit(d), "late date", secret)
 
     def made(s: Column) -> Column:
         to = F.date_add(first, (s["a"] * b + s["b"]).cast("int"))
         return _filled(m, F.when(year_first, F.date_format(to, "yyyyMMdd")).otherwise(F.date_format(to, "ddMMyyyy")))
 
-    return F.when(when.isNotNull() & n.between(0, a * b - 1), _once(new, made))
+    def before(month: Column) -> Column:
+        """Late days before a month."""
+        return F.datediff(F.add_months(first, month), first) - 12 * month
+
+    def made_late(s: Column) -> Column:
+        at = (s["a"] * d + s["b"]).cast("int")
+        near = F.floor(at * (MONTHS / (c * d))).cast("int")  # off by one month at most
+        of = F.array_max(F.filter(F.sequence(near - 1, near + 1), lambda k: before(k) <= at))
+        to = _once(of, lambda k: F.date_add(F.add_months(first, k), at - before(k) + 12))
+        return _filled(m, F.date_format(to, "MMddyyyy"))
+
+    good = when.isNotNull() & n.between(0, a * b - 1)
+    return F.when(good & late, _once(new_late, made_late)).when(good, _once(new, made))
 
 
 def _card(m: Column, secret: str) -> Column:
@@ -343,7 +370,7 @@ def pseudonymized(docs: DataFrame, secret: str, found: str | None = None) -> Dat
     text = F.col("text").cast("string")
     hinted = F.when(F.regexp_like(text, F.lit(HINT)), text)
     finds = F.coalesce(F.regexp_extract_all(hinted, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
-    new = "__new"
+    new = unused("new", docs)
     out = docs.withColumn(new, F.transform(finds, lambda m: _pseudonym(m, secret)))
     texts = F.transform(F.col(new), lambda p: p["text"])
     between = F.split(text, ANY, -1)

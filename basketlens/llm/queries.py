@@ -149,7 +149,7 @@ WITH d AS (
   SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id,
          CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS digest
+         md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest
   FROM documents),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::INT] AS weight,
@@ -161,16 +161,16 @@ l AS (SELECT *, (budget - spent) / (weights - passed) AS lvl FROM f),
 t AS (SELECT *, max(lvl) FILTER (WHERE cap > weight * lvl) OVER () AS level FROM l),
 src AS (SELECT skey, source_size, weight, budget,
                CASE WHEN cap <= weight * lvl THEN cap ELSE weight * level END AS target FROM t),
-q AS (SELECT d.*, source_size, weight, target, budget,
-             sum(size) OVER (PARTITION BY d.skey ORDER BY digest, id, size RANGE UNBOUNDED PRECEDING) AS cum
-      FROM d JOIN src ON d.skey = src.skey),
+n AS (SELECT *, row_number() OVER (PARTITION BY skey, id, size, digest) AS nth FROM d),
+q AS (SELECT n.*, source_size, weight, target, budget,
+             sum(size) OVER (PARTITION BY n.skey ORDER BY digest, id, size, nth ROWS UNBOUNDED PRECEDING) AS cum
+      FROM n JOIN src ON n.skey = src.skey),
 c AS (SELECT *, ((copy - 1) * source_size + cum)::DOUBLE / weight AS finish
       FROM q, (SELECT unnest([1, 2, 3]) AS copy)),
-r AS (SELECT *, sum(size) OVER (ORDER BY finish, skey, digest, id, size, copy RANGE UNBOUNDED PRECEDING) AS words FROM c)
-SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target)::DOUBLE AS target,
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, skey, digest, id, size, copy, nth ROWS UNBOUNDED PRECEDING) AS words FROM c)
+SELECT any_value(doc_id) AS doc_id, size, any_value(source_size) AS source_size, any_value(target)::DOUBLE AS target,
        (size * count(*) FILTER (WHERE words <= budget))::BIGINT AS taken
-FROM (SELECT r.*, row_number() OVER (PARTITION BY copy, id, skey, size, digest, cum) AS twin FROM r)
-GROUP BY doc_id, id, skey, size, digest, cum, twin""",
+FROM r GROUP BY id, skey, size, digest, nth""",
     "op7_warc": """
 WITH r AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 m AS (SELECT *, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS newest FROM r)

@@ -21,7 +21,8 @@ is a group of its own; nothing is dropped. Large groups yield a spanning forest,
 Cases: a text without words, or a null one, has fingerprint zero and links like any
 other; a text shorter than the shingle is one shingle. Rows that repeat a doc_id are
 documents of their own with that id. A null doc_id counts as larger than any other and
-comes back as null. Other columns are ignored. Empty input gives an empty result.
+comes back as null. A text of any length is hashed whole, a part of its shingles at a
+time. Other columns are ignored. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import golay
-from basketlens.llm.common import in_arrow, key, saved, unkey
+from basketlens.llm.common import in_arrow, key, saved, unkey, unused
 from basketlens.llm.components import components
 from basketlens.llm.groups import in_blocks, starts_of, whole_keys
 
@@ -68,17 +69,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) for each document row, saved; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(id, fp) for each document row, saved; fp is the fingerprint as a signed long.
+    `row` names a column of row numbers that go along as `row`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fp = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), fp], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), fp], names=["id", "row", "fp"])
 
-    rows = docs.select(key("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    return saved(in_arrow(rows, run, "id long, fp long"), "fingerprints")
+    number = F.col(row) if row else F.lit(None)
+    rows = docs.select(key("doc_id").alias("id"), number.cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    return saved(in_arrow(rows, run, "id long, row long, fp long"), "fingerprints")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,15 +200,21 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, most: int = MOST
     return links.unionByName(again.select("a", "b"))
 
 
+def _grouped(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, id, root) of every distinct fingerprint of rows(id, fp), saved: its smallest id
+    and one fingerprint that stands for its component."""
+    nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    roots = components(fingerprint_links(nodes.select("fp"), max_bits))
+    # Fingerprints without a link have no root.
+    found = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    return saved(found, "grouped")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id
     reachable) of every document row."""
     rows = fingerprints(docs, shingle)
-    nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), max_bits))
-    # Fingerprints in a component of several, and the smallest id of each component.
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    grouped = saved(grouped, "grouped")
+    grouped = _grouped(rows, max_bits)
     smallest = saved(grouped.groupBy("root").agg(F.min("id").alias("component")), "smallest")
     of_fp = saved(grouped.join(smallest, "root").select("fp", "component"), "components")
     return rows.join(of_fp, "fp").select(
@@ -215,11 +224,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     )
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs less all but one document of each component: the one whose doc_id is the
-    component's. Of rows that repeat this doc_id one stays."""
-    found = near_duplicates(docs, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = saved(keep.select(key("doc_id").alias("__id")).distinct(), "kept")
-    rows = docs.withColumn("__id", key("doc_id"))
-    return rows.join(keep, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs less all but one row of each component: the first by doc_id, then by its
+    number. Rows are numbered in a saved copy, so rows that share an id, or have none, are
+    told apart, and stay if their texts are no near duplicates."""
+    number = unused("row", docs)
+    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = fingerprints(numbered, shingle, row=number)
+    of_fp = _grouped(rows, max_bits).select("fp", "root")
+    first = rows.join(of_fp, "fp").groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))
+    keep = saved(first.select(F.col("first.row").alias(number)), "kept")
+    return numbered.join(keep, number, "left_semi").select(*docs.columns)

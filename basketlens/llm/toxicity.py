@@ -31,15 +31,17 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import rest_of_crc32, ship
+from basketlens.llm.common import rest_of_crc32, saved, ship
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 3000
 MAX_SAMPLE_BYTES = 200_000
+# Text of each class that the driver takes at most.
+SAMPLE_BYTES = 64_000_000
 WINDOW = 96
 TRAIN_WINDOW = 64
 LEVEL = 9
@@ -168,19 +170,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.max("toxic") >= 1).alias("toxic"))
     )
-    counts = known.agg(F.count_if("toxic"), F.count(F.lit(1))).first()
-    share = counts[0] / counts[1] if counts[1] else 0.0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    usable = texts.filter(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id")
+    # Chosen and counted among the documents at hand, whatever else is labelled.
+    present = saved(known.join(usable, "doc_id", "left_semi"), "labelled")
+    counts = present.agg(F.count_if("toxic"), F.count(F.lit(1))).first()
+    share = counts[0] / counts[1] if counts[1] else 0.0
     found = {}
     for toxic in (True, False):
-        chosen = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        chosen = present.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        order = [F.xxhash64("doc_id"), "doc_id", F.sha2("text", 256)]
         rows = (
             texts.join(chosen.select("doc_id"), "doc_id")
             .filter(F.octet_length("text") <= MAX_SAMPLE_BYTES)
-            .orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("text", 256))
+            .orderBy(*order)
             .limit(sample)
+            # One window over at most `sample` rows.
+            .withColumn("so_far", F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+            .filter(F.col("so_far") <= SAMPLE_BYTES)
+            .orderBy(*order)
         )
-        found[toxic] = [bytes(r.text).lower() for r in rows.collect()]  # at most `sample` rows
+        found[toxic] = [bytes(r.text).lower() for r in rows.select("text").collect()]
     return fit(found[True], found[False], share)
 
 

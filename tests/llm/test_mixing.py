@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from basketlens.llm.mixing import mix, mixed_documents
 
@@ -68,15 +69,38 @@ def test_documents_repeat_as_often_as_taken(spark):
     out = mixed_documents(frame)
     assert out.columns == frame.columns
     got = sorted(str((r.doc_id, r.text, r.source)) for r in out.collect())
-    copies = {}
+    copies = Counter()
     for r in mix(frame).collect():
-        copies[r.doc_id, r.size] = r.copies
+        copies[r.doc_id, r.size] += r.copies
     want = []
-    for d, t, s, *_ in rows():
+    for d, t, s, *_ in {row for row in rows()}:
         want += [str((d, t, s))] * copies[d, len((t or "").split())]
     assert got == sorted(want)
 
 
+def test_equal_and_missing_ids_are_documents_of_their_own(spark):
+    for doc_id in (None, 7):
+        data = [(doc_id, f"{s}{n} " + "w " * 9, s) for s in "abc" for n in range(1000)]
+        got = mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+        taken = Counter()
+        for r in got:
+            taken[r.skey] += r.taken
+        assert {s: abs(taken[f"a{s}"] - t) <= 10 for s, t in zip("abc", (18750, 7500, 3750))} == dict.fromkeys("abc", True)
+
+
+def test_equal_documents_are_taken_in_part(spark):
+    data = [(None, "w " * 10, s, n % 3, "x") for s in "abc" for n in range(9000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string, row int, copies string").repartition(6)
+    taken = Counter()
+    for r in mix(frame).collect():
+        taken[r.skey] += r.taken
+        assert r.taken <= 30
+    assert all(abs(taken[f"a{s}"] - t) <= 10 for s, t in zip("abc", (168750, 67500, 33750)))
+    out = mixed_documents(frame)
+    assert out.columns == frame.columns
+    assert Counter("a" + r.source for r in out.collect()) == Counter({s: n // 10 for s, n in taken.items()})
+
+
 def test_one_source_and_empty(spark):
     one = spark.createDataFrame([(1, "a b", "x"), (2, "c", "x")], "doc_id long, text string, source string")
     assert [(r.doc_id, r.target, r.taken) for r in mix(one).orderBy("doc_id").collect()] == [(1, 3.0, 2), (2, 3.0, 1)]

@@ -88,13 +88,41 @@ def test_against_brute_force(spark):
     assert got == slow(rows)
 
 
-def test_one_document_of_each_component_stays(spark):
+def test_one_row_of_each_component_stays(spark):
     rows = documents()
     frame = spark.createDataFrame([(d, t, "clash", 7, "clash") for d, t in rows], SCHEMA)
     kept = without_near_duplicates(frame)
     assert kept.columns == frame.columns
+    # Components of documents that share no id: one row each, of the smallest id.
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(map(str, ids)) == sorted(map(str, {c for _, _, c in slow(rows)}))
+    assert sorted(map(str, ids)) == sorted(str(c) for c in component_ids(rows))
+
+
+def component_ids(rows):
+    """The smallest id of each component of rows, once for each component."""
+    fps = [slow_fingerprint(t) for _, t in rows]
+    left, out = set(range(len(rows))), []
+    while left:
+        todo, members = [left.pop()], []
+        while todo:
+            i = todo.pop()
+            members.append(i)
+            near = {j for j in left if (fps[i] ^ fps[j]).bit_count() <= 3}
+            left -= near
+            todo += near
+        ids = [rows[i][0] for i in members]
+        out.append(min((i for i in ids if i is not None), default=None))
+    return out
+
+
+def test_rows_without_an_id_or_with_one_id_stay_apart(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    rows = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (3, texts[5]), (5, texts[5] + " "), (None, texts[5])]
+    frame = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in rows], "doc_id long, text string, row int, __id string, id string")
+    kept = without_near_duplicates(frame.repartition(3))
+    assert kept.columns == frame.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in rows[:6])
 
 
 @pytest.mark.parametrize("most", [6, 40, 4096])
