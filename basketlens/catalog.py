@@ -16,12 +16,13 @@ from basketlens.functions import money, numbered
 from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
-from basketlens.plans import churn, cohorts, experiment, launch, metrics, mix, orders, report, segments
+from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, report, segments, sessions, warehouse
 from basketlens.plans.sql import monthly_product_metrics_sql
 from basketlens.sources.export import export_tables
 from basketlens.sources.fixture import fixture_tables
 from basketlens.sources.shop import write_shop_layout
 from basketlens.sources.tables import ORDER_ITEM_COLUMNS, Tables, load, shop_tables
+from basketlens.sources.warehouse import Layout, published_once
 
 Metric = Callable[[Tables, Params], DataFrame]
 
@@ -84,6 +85,13 @@ def first_orders_q(t: Tables, p: Params) -> DataFrame:
     return f.select("user_id", "order_id", "order_ts", money("order_value").alias("order_value"), "next_order_ts")
 
 
+def experiment_lift_q(t: Tables, p: Params) -> DataFrame:
+    # Engines differ in the last bits of square roots and quotients.
+    lift = exposure.experiment_lift(t, p)
+    kept = {"metric", "ship"}
+    return lift.select(*(F.col(c) if c in kept else F.round(c, 6).alias(c) for c in lift.columns))
+
+
 METRICS: dict[str, Metric] = {
     # sources / primitives
     "scan_projected": scan_projected,
@@ -130,6 +138,9 @@ METRICS: dict[str, Metric] = {
     "churn_90d_full_history_band": lambda t, p: churn.churn_90d_full_history(t, p, method="band"),
     "session_churn_14d": churn.session_churn_14d,
     "session_churn_1d": churn.session_churn_1d,
+    "user_sessions": lambda t, p: sessions.user_sessions(t, p),
+    "session_gap_churn_14d": lambda t, p: sessions.session_gap_churn(t, p, horizon=14),
+    "session_gap_churn_1d": lambda t, p: sessions.session_gap_churn(t, p, horizon=1),
     "revenue_churn_corr": report.revenue_churn_corr,
     # launch scenario (Task D / experiment support)
     "launch_impact": launch.launch_impact,
@@ -145,6 +156,9 @@ METRICS: dict[str, Metric] = {
     "customer_snapshot_notebook": lambda t, p: segments.customer_snapshot(t, p, clock="ts"),
     "cohort_retention": cohorts.cohort_retention,
     "experiment_readout": experiment.experiment_readout,
+    "exposed_orders": exposure.exposed_orders_q,
+    "experiment_by_exposure": exposure.experiment_by_exposure,
+    "experiment_lift": experiment_lift_q,
     # report
     "analysis_context": report.analysis_context,
     "summary_kpis": report.summary_kpis,
@@ -205,6 +219,15 @@ def _on_shop_files(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _on_catalog(metric: Callable[[Layout, Params], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A metric over the same data as catalog tables laid out by user."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metric(published_once(spark, sf_dir, lambda: fixture_tables(spark, sf_dir)), fixture_params())
+
+    return run
+
+
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of the table's columns; only they are read."""
     return load(spark, sf_dir, "events", ["user_id", "event_type"])
@@ -216,6 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["scan_events"] = scan_events
     for name in ("scan_projected", "monthly_product_metrics", "customer_mix_windowed"):
         q[f"shop_{name}"] = _on_shop_files(METRICS[name])
+    q["catalog_monthly_sales"] = _on_catalog(warehouse.catalog_monthly_sales)
+    q["catalog_first_order_repeat"] = _on_catalog(warehouse.catalog_first_order_repeat)
     q["monthly_product_metrics_sql"] = lambda spark, sf_dir: monthly_product_metrics_sql(
         spark, fixture_tables(spark, sf_dir), fixture_params()
     )
