@@ -32,7 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import golay
@@ -69,19 +69,26 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+def text_digest() -> Column:
+    """What tells the texts of rows with one id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
     """(id, fp) for each document row, saved; fp is the fingerprint as a signed long.
-    `row` names a column of row numbers that go along as `row`."""
+    With `digests` also the digest of the text."""
+    digest = [text_digest().alias("digest")] if digests else []
+    rows = docs.select(key("doc_id").alias("id"), *digest, F.col("text").cast("string").alias("text"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fp = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), fp], names=["id", "row", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), fp], names=[*kept, "fp"])
 
-    number = F.col(row) if row else F.lit(None)
-    rows = docs.select(key("doc_id").alias("id"), number.cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    return saved(in_arrow(rows, run, "id long, row long, fp long"), "fingerprints")
+    schema = "id long, digest binary, fp long" if digests else "id long, fp long"
+    return saved(in_arrow(rows, run, schema), "fingerprints")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,13 +232,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs less all but one row of each component: the first by doc_id, then by its
-    number. Rows are numbered in a saved copy, so rows that share an id, or have none, are
-    told apart, and stay if their texts are no near duplicates."""
-    number = unused("row", docs)
-    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    rows = fingerprints(numbered, shingle, row=number)
-    of_fp = _grouped(rows, max_bits).select("fp", "root")
-    first = rows.join(of_fp, "fp").groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))
-    keep = saved(first.select(F.col("first.row").alias(number)), "kept")
-    return numbered.join(keep, number, "left_semi").select(*docs.columns)
+    """docs less all but one row of each component: the first by doc_id, then by the digest
+    of its text, then by its other columns. Rows that share an id, or have none, are told
+    apart by their texts, and stay if these are no near duplicates."""
+    rows = fingerprints(docs, shingle, digests=True)
+    of_fp = _grouped(rows.select("id", "fp"), max_bits).select("fp", "root")
+    first = rows.join(of_fp, "fp").groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first"))
+    keep = saved(first.select("first.id", "first.digest"), "kept")
+    # Rows equal in id and text become one before texts are shuffled.
+    others = F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias(unused("none", docs)))
+    each = docs.groupBy(key("doc_id").alias("id"), text_digest().alias("digest")).agg(
+        F.first("doc_id").alias("doc_id"), F.min(F.struct("text")).alias("text"), F.min(others).alias("others")
+    )
+    # A null text and an empty one have one digest; the null one is the smaller.
+    source = {"doc_id": F.col("doc_id"), "text": F.col("text")["text"]}
+    columns = [(source[c] if c in source else F.col("others")[c]).alias(c) for c in docs.columns]
+    return each.join(keep, ["id", "digest"], "left_semi").select(*columns)
