@@ -7,7 +7,10 @@ parameters. The same metric functions run on order_items/events/users files with
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,9 @@ from basketlens.functions import money, numbered
 from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
-from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, report, segments, sessions, warehouse
+from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, reach, report, segments, sessions, survival, warehouse
 from basketlens.plans.sql import monthly_product_metrics_sql
+from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources.export import export_tables
 from basketlens.sources.fixture import fixture_tables
 from basketlens.sources.shop import write_shop_layout
@@ -92,6 +96,12 @@ def experiment_lift_q(t: Tables, p: Params) -> DataFrame:
     return lift.select(*(F.col(c) if c in kept else F.round(c, 6).alias(c) for c in lift.columns))
 
 
+def return_survival_q(t: Tables, p: Params) -> DataFrame:
+    # Engines differ in the last bits of long products.
+    s = survival.return_survival(t, p)
+    return s.withColumns({c: F.round(c, 9) for c in ("survival", "std_error")})
+
+
 METRICS: dict[str, Metric] = {
     # sources / primitives
     "scan_projected": scan_projected,
@@ -141,6 +151,11 @@ METRICS: dict[str, Metric] = {
     "user_sessions": lambda t, p: sessions.user_sessions(t, p),
     "session_gap_churn_14d": lambda t, p: sessions.session_gap_churn(t, p, horizon=14),
     "session_gap_churn_1d": lambda t, p: sessions.session_gap_churn(t, p, horizon=1),
+    "return_survival": return_survival_q,
+    # distinct users of any period from daily bitmaps
+    "distinct_users_by_period": reach.distinct_users_by_period,
+    "distinct_users_trailing_90d": reach.distinct_users_trailing,
+    "distinct_users_trailing_7d": lambda t, p: reach.distinct_users_trailing(t, p, days=7),
     "revenue_churn_corr": report.revenue_churn_corr,
     # launch scenario (Task D / experiment support)
     "launch_impact": launch.launch_impact,
@@ -207,7 +222,20 @@ def _bind(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_tables(spark, EXPORT_TABLES, sf_dir).select("table_name", "rows", (F.col("status") == "ok").alias("copied"))
+    """Half of the tables, then all with `resume`: what is there and whole is kept. The key
+    digest, over the first column, is one that any engine can form from the source."""
+    target = os.path.join(ensure_checkpoint_dir(spark), "exports", uuid.uuid4().hex)
+    export_tables(spark, EXPORT_TABLES[::2], sf_dir, target)
+    report = export_tables(spark, EXPORT_TABLES, sf_dir, target, resume=True)
+    there = [r["table_name"] for r in report.filter("rows IS NOT NULL").select("table_name").collect()]
+    keys = [_key_digest(load(spark, target, name)).withColumn("table_name", F.lit(name)) for name in there]
+    told = report.join(reduce(DataFrame.unionByName, keys), "table_name", "left") if keys else report.withColumn("key_digest", F.lit(None).cast("long"))
+    return told.select("table_name", "status", "rows", (F.col("bytes") > 0).alias("has_bytes"), "key_digest")
+
+
+def _key_digest(df: DataFrame) -> DataFrame:
+    first = F.col(df.columns[0]).cast("string").cast("binary")
+    return df.agg(F.coalesce(F.sum(F.conv(F.substring(F.md5(first), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("key_digest"))
 
 
 def _on_shop_files(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:

@@ -35,6 +35,7 @@ from basketlens.operators.facts import (
     max_scalar,
     order_month_rollup,
     period_rollup,
+    user_month_orders,
 )
 from basketlens.operators.sequence import sequence, with_next_period
 from basketlens.params import Params
@@ -151,6 +152,37 @@ def churn_90d_windowed(t: Tables, p: Params, full_months_only: bool = False) ->
     return out.orderBy("month")
 
 
+def _is_done(p: Params) -> Column:
+    """Completed and not returned (an unknown status is not)."""
+    return F.col("status").eqNullSafe(p.completed_status) & F.col("returned_at").isNull()
+
+
+def _order_days(t: Tables, p: Params) -> DataFrame:
+    """Items of any status by user, order and day, with whether any was completed; saved
+    once: the boundary, the user-months and the orders to count all come from it."""
+    return materialize(
+        t,
+        ("order_days_any_status", p),
+        lambda: t.order_items.groupBy("user_id", "order_id", day("created_at").alias("day")).agg(F.bool_or(_is_done(p)).alias("done")),
+    )
+
+
+def _done_days(order_days: DataFrame) -> DataFrame:
+    return order_days.filter("done").select("user_id", F.col("day").alias("fact_day"), F.col("order_id").alias("fact_id"))
+
+
+def _any_status_rollup(rows: DataFrame, done: Column, d: Column) -> DataFrame:
+    return (
+        rows.withColumn("_d", d)
+        .groupBy("user_id", month("_d").alias("period_start"))
+        .agg(
+            F.min(F.when(done, F.col("_d"))).alias("first_t"),
+            F.max(F.when(done, F.col("_d"))).alias("last_t"),
+            F.max("_d").alias("_any_t"),
+        )
+    )
+
+
 def churn_90d_full_history(t: Tables, p: Params, method: str = "lead", full_months_only: bool = False) -> DataFrame:
     """Notebook Task C: all history, boundary = last day over all items of any status.
 
@@ -162,19 +194,12 @@ def churn_90d_full_history(t: Tables, p: Params, method: str = "lead", full_mont
     completed-only first/last days as conditional aggregates and the
     any-status maximum alongside; user-months without completed items are
     dropped after the boundary is read."""
-    done = (F.col("status") == p.completed_status) & F.col("returned_at").isNull()
-    d = day("created_at")
-    r_all = materialize(
-        t,
-        ("item_day_rollup_any_status", p),
-        lambda: t.order_items.withColumn("_d", d)
-        .groupBy("user_id", month("_d").alias("period_start"))
-        .agg(
-            F.min(F.when(done, F.col("_d"))).alias("first_t"),
-            F.max(F.when(done, F.col("_d"))).alias("last_t"),
-            F.max("_d").alias("_any_t"),
-        ),
-    )
+    done = _is_done(p)
+    if method == "band":
+        order_days = _order_days(t, p)
+        r_all = _any_status_rollup(order_days, F.col("done"), F.col("day"))
+    else:
+        r_all = materialize(t, ("item_day_rollup_any_status", p), lambda: _any_status_rollup(t.order_items, done, day("created_at")))
     boundary = rollup_boundary(r_all, "_any_t")
     r = r_all.filter(F.col("last_t").isNotNull()).drop("_any_t")
     if method == "lead":
@@ -183,9 +208,7 @@ def churn_90d_full_history(t: Tables, p: Params, method: str = "lead", full_mont
         q = r.filter(date_plus("last_t", p.horizon_days) <= boundary).select(
             "user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_day")
         )
-        items = completed_items(t, p)
-        facts = items.select("user_id", day("created_at").alias("fact_day"), F.col("order_id").alias("fact_id"))
-        counted = count_following(q, facts, p.horizon_days, "_n")
+        counted = count_following(q, _done_days(order_days), p.horizon_days, "_n")
         flagged = counted.groupBy("user_id", F.col("month").alias("period_start")).agg(
             F.max(F.when(F.col("_n") > 0, 1).otherwise(0)).alias("_has_future")
         ).withColumn("churned", F.col("_has_future") == 0)
@@ -197,12 +220,17 @@ def churn_90d_full_history(t: Tables, p: Params, method: str = "lead", full_mont
 def orders_in_next_days(t: Tables, p: Params) -> DataFrame:
     """For each eligible user-month (Task C), the number of distinct completed
     orders with an item day in (last, last + h] (the band join's count)."""
-    items, r = _item_day_rollup(t, p, windowed=True)
-    boundary = rollup_boundary(r)
+    order_days = materialize(
+        t,
+        ("order_days", p),
+        lambda: completed_items(t, p, p.start_date, p.end_date).select("user_id", "order_id", day("created_at").alias("day")).distinct(),
+    )
+    r = period_rollup(order_days, "user_id", F.col("day"))
+    boundary = rollup_boundary(order_days, "day")
     q = r.filter(date_plus("last_t", p.horizon_days) <= boundary).select(
         "user_id", F.col("period_start").alias("month"), F.col("last_t").alias("last_day")
     )
-    facts = items.select("user_id", day("created_at").alias("fact_day"), F.col("order_id").alias("fact_id"))
+    facts = order_days.select("user_id", F.col("day").alias("fact_day"), F.col("order_id").alias("fact_id"))
     out = f"orders_in_next_{p.horizon_days}d"
     return count_following(q, facts, p.horizon_days, out).select("user_id", "month", out)
 
@@ -247,8 +275,8 @@ def churn_vs_revenue(
     method='lead_join' joins user-months back to the per-order LEAD sequence.
     """
     h = p.horizon_days if horizon is None else horizon
-    r = order_month_rollup(t, p, from_start=True)
     if method == "rollup":
+        r = order_month_rollup(t, p, from_start=True)
         # Churn counts and order-month revenue in one aggregation over the
         # rollup: every user-month adds revenue, eligible ones add counts.
         known = F.col("user_id").isNotNull()
@@ -267,7 +295,9 @@ def churn_vs_revenue(
             money("_revenue").alias("revenue"),
         )
     elif method == "lead_join" and not full_months_only:
-        orders = _orders(t, p, from_start=True)
+        # One fact pass: user-months and the sequence come from the saved orders.
+        orders = materialize(t, ("orders_from_start", p), lambda: _orders(t, p, from_start=True))
+        r = user_month_orders(orders)
         churn = churn_counts(_lead_join_flags(orders, r, rollup_boundary(r), h), h)
         # Both sides have one row per month.
         rev = _monthly_order_revenue(r)
