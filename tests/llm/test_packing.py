@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from basketlens.llm.packing import BestFit, Tokenization, cut, packed, packed_ids
+from basketlens.llm.packing import PIECE_SCHEMA, BestFit, Tokenization, cut, pack, packed, packed_ids
 from basketlens.llm.queries import byte_bpe
 
 TEXTS = [
@@ -73,20 +73,47 @@ def test_cut():
     assert cut(3, 4) == [(0, 3)]
 
 
-@pytest.mark.parametrize("most", [1, 3, 1000])
-def test_best_fit_and_its_bound(most):
+@pytest.mark.parametrize("most", [1, 3, 20, 1000])
+def test_best_fit_against_a_plain_version(most):
     rng = random.Random(most)
-    bins, free = BestFit(100, most), {}
-    for _ in range(500):
+    bins, free, filled, closed = BestFit(100, most), [], {}, 0
+    for _ in range(1000):
         n = rng.randint(1, 100)
-        best = min((f for f in free.values() if f >= n), default=None)
+        # The fullest open bin that holds the piece, else a new one.
+        best = min((f for f in free if f >= n), default=None)
+        if best is not None:
+            free.remove(best)
+        left = (100 if best is None else best) - n
+        if left:
+            free.append(left)
+        if len(free) > most:
+            free.remove(min(free))
+            closed += 1
         number, offset = bins.place(n)
-        if most == 1000:  # nothing closes early: the fullest bin that fits
-            assert 100 - offset == (best if best is not None else 100)
-        free[number] = 100 - offset - n
-        assert free[number] >= 0 and bins.open <= most
-        if not free[number]:
-            del free[number]
+        assert offset == filled.get(number, 0) == (0 if best is None else 100 - best)
+        filled[number] = offset + n
+        assert sorted(f for f, found in bins.by_free.items() for _ in found) == sorted(free)
+        assert bins.open == len(free) <= most
+    assert (closed > 0) == (most < 1000)
+
+
+@pytest.mark.parametrize("open_bins", [2, 16])
+def test_few_open_bins_keep_every_piece(spark, open_bins):
+    rng = random.Random(open_bins)
+    rows = [(n, n % 7, 0, 0, rng.randint(1, 2048), n) for n in range(600)]
+    found = spark.createDataFrame(rows, PIECE_SCHEMA)
+    got = pack(found, open_bins=open_bins, per_task=300, portion=100).collect()
+    assert sorted((r.row, r.length, r.ids_crc32) for r in got) == sorted((r[0], r[4], r[5]) for r in rows)
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len({r.sequence_id >> 40 for r in got}) == 2
 
 
 def test_fullest_closes_first():
