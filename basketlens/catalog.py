@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from basketlens.functions import money, numbered
 from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
-from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, reach, report, segments, sessions, survival, warehouse
+from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, reach, refresh, report, segments, sessions, survival, warehouse
 from basketlens.plans.sql import monthly_product_metrics_sql
 from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources.export import export_tables
@@ -238,6 +239,28 @@ def _key_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(F.conv(F.substring(F.md5(first), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("key_digest"))
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[Params, str]:
+    """A store that first held the items before a day, some of the last year's missing,
+    and then was brought up to date with all of them."""
+    t, p = fixture_tables(spark, sf_dir), fixture_params()
+    store = os.path.join(ensure_checkpoint_dir(spark), "stores", uuid.uuid4().hex)
+    cut = datetime.combine(p.launch_date, datetime.min.time())
+    late = (F.col("id") == 3) & (F.col("created_at") >= F.lit(cut - timedelta(days=365)).cast("timestamp_ntz"))
+    known = F.coalesce((F.col("created_at") < F.lit(cut).cast("timestamp_ntz")) & ~late, F.lit(False))
+    refresh.refresh(Tables(t.order_items.filter(known), t.events, t.users), p, store)
+    refresh.refresh(t, p, store, t.order_items.filter(~known))
+    return p, store
+
+
+def refreshed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.stored_sales(spark, _refreshed(spark, sf_dir)[1])
+
+
+def refreshed_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, store = _refreshed(spark, sf_dir)
+    return refresh.stored_churn(spark, p, store)
+
+
 def _on_shop_files(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
     """A metric over the same data in the original file layout."""
 
@@ -265,6 +288,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {name: _bind(m) for name, m in METRICS.items()}
     q["export_report"] = export_report
     q["scan_events"] = scan_events
+    q["refreshed_sales"] = refreshed_sales
+    q["refreshed_churn"] = refreshed_churn
     for name in ("scan_projected", "monthly_product_metrics", "customer_mix_windowed"):
         q[f"shop_{name}"] = _on_shop_files(METRICS[name])
     q["catalog_monthly_sales"] = _on_catalog(warehouse.catalog_monthly_sales)
