@@ -2,12 +2,13 @@
 
     python -m basketlens list
     python -m basketlens run segment_split --data /path/to/parquet --layout shop
-    python -m basketlens run dashboard_payload --data /root/testdata/sf0.01 --layout fixture --out /tmp/payload
+    python -m basketlens run dashboard_payload --data /root/testdata/sf0.01 --layout fixture --out /tmp/payload.json
 
 `--layout shop` reads order_items/events/users.parquet with the default
 parameters; `--layout fixture` reads the driver tables with fixture
 parameters. Results are shown (`--show N` rows) or written as Parquet
-(`--out`; JSON text for `dashboard_payload`).
+(`--out`; for `dashboard_payload` one JSON file, or a script that assigns it if its name ends
+in .js).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import sys
 from basketlens.catalog import METRICS
 from basketlens.params import default_params, fixture_params
 from basketlens.session import local_session
+from basketlens.sources.export import write_document
 from basketlens.sources.fixture import fixture_tables
 from basketlens.sources.tables import shop_tables
 
@@ -47,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     df = METRICS[args.metric](tables, params)
     if args.out:
         if args.metric == "dashboard_payload":
-            df.coalesce(1).write.mode("overwrite").text(args.out)
+            write_document(df, args.out, "DASHBOARD_DATA" if args.out.endswith(".js") else None)
         else:
             df.write.mode("overwrite").parquet(args.out)
     else:

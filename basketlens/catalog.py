@@ -16,14 +16,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.functions import money, numbered
+from basketlens.functions import label_rank, money, numbered
 from basketlens.operators.facts import completed_items, completed_orders
 from basketlens.operators.sequence import next_distinct_time, sequence
 from basketlens.params import Params, fixture_params
 from basketlens.plans import churn, cohorts, experiment, exposure, launch, metrics, mix, orders, reach, refresh, report, segments, sessions, survival, warehouse
 from basketlens.plans.sql import monthly_product_metrics_sql
 from basketlens.session import ensure_checkpoint_dir
-from basketlens.sources.export import export_tables
+from basketlens.sources.export import export_tables, read_document, write_document
 from basketlens.sources.fixture import fixture_tables
 from basketlens.sources.shop import write_shop_layout
 from basketlens.sources.tables import ORDER_ITEM_COLUMNS, Tables, load, shop_tables
@@ -189,13 +189,17 @@ METRICS: dict[str, Metric] = {
     "churn_90d_full_history_full_months": lambda t, p: churn.churn_90d_full_history(t, p, full_months_only=True),
     "churn_90d_floor_days_full_months": lambda t, p: churn.churn_90d_floor_days(t, p, full_months_only=True),
     # results with the place of each row: their order is part of what is compared
-    "position_overview": lambda t, p: numbered(metrics.overview_monthly_metrics(t, p)),
-    "head_mix": lambda t, p: numbered(newest(mix.customer_mix_full_history(t, p))),
-    "head_churn": lambda t, p: numbered(newest(churn.churn_90d_full_history(t, p))),
-    "position_launch_impact": lambda t, p: numbered(launch.launch_impact(t, p)),
-    "position_segments": lambda t, p: numbered(segments.segment_split(t, p)),
-    "position_bands": lambda t, p: numbered(orders.order_value_bands(t, p)),
-    "position_channels": lambda t, p: numbered(orders.first_order_repeat_by_channel(t, p)),
+    "position_overview": lambda t, p: numbered(metrics.overview_monthly_metrics(t, p), "month"),
+    "head_mix": lambda t, p: numbered(newest(mix.customer_mix_full_history(t, p)), F.desc("month")),
+    "head_churn": lambda t, p: numbered(newest(churn.churn_90d_full_history(t, p)), F.desc("month")),
+    "position_launch_impact": lambda t, p: numbered(
+        launch.launch_impact(t, p), "order_month", "period", "traffic_source", "threshold_segment"
+    ),
+    "position_segments": lambda t, p: numbered(segments.segment_split(t, p), label_rank("segment", segments.SEGMENTS)),
+    "position_bands": lambda t, p: numbered(orders.order_value_bands(t, p), label_rank("order_band", p.band_labels)),
+    "position_channels": lambda t, p: numbered(
+        orders.first_order_repeat_by_channel(t, p), F.desc("customers"), "traffic_source"
+    ),
 }
 
 
@@ -239,6 +243,13 @@ def _key_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(F.conv(F.substring(F.md5(first), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("key_digest"))
 
 
+def dashboard_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the document as a published file gives them back."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "documents", f"{uuid.uuid4().hex}.js")
+    write_document(report.dashboard_payload(fixture_tables(spark, sf_dir), fixture_params()), path, "DASHBOARD_DATA")
+    return report.document_rows(read_document(spark, path, "DASHBOARD_DATA").withColumnRenamed("document", "payload"))
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[Params, str]:
     """A store that first held the items before a day, some of the last year's missing,
     and then was brought up to date with all of them."""
@@ -288,6 +299,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {name: _bind(m) for name, m in METRICS.items()}
     q["export_report"] = export_report
     q["scan_events"] = scan_events
+    q["dashboard_document"] = dashboard_document
     q["refreshed_sales"] = refreshed_sales
     q["refreshed_churn"] = refreshed_churn
     for name in ("scan_projected", "monthly_product_metrics", "customer_mix_windowed"):

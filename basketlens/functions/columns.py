@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -114,9 +114,9 @@ def ordered(df, *cols, on: bool = True):
     return df.orderBy(*cols) if on else df
 
 
-def numbered(df):
-    """Add `position`, the place of each row of a small sorted result in its output."""
-    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+def numbered(df, *by):
+    """Add `position`, the place of each row of a small result in the order of `by`."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*by)).cast("long"))
 
 
 def label_rank(c: str | Column, labels: Sequence[str]) -> Column:

@@ -261,9 +261,14 @@ SECTIONS = ["monthlyMix", "monthlyChurn", "segmentSummary", "shippingBaseline",
 def dashboard_payload_rows(t: Tables, p: Params) -> DataFrame:
     """The document's values as text: section, item (place in the section, 0 for the
     summary), field, value (numbers with four decimals). Read back from the document itself."""
+    return document_rows(dashboard_payload(t, p))
+
+
+def document_rows(payload: DataFrame) -> DataFrame:
+    """The values of a document in the column `payload`."""
     values = "map<string,string>"
     schema = ", ".join([f"summary {values}", *(f"{s} array<{values}>" for s in SECTIONS)])
-    doc = dashboard_payload(t, p).select(F.from_json("payload", schema).alias("d")).select("d.*")
+    doc = payload.select(F.from_json("payload", schema).alias("d")).select("d.*")
 
     def entry(section: str, item: Column, found: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), item.alias("item"), found.alias("values"))

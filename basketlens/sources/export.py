@@ -163,3 +163,33 @@ def export_tables(
     log = [(*r[:5], None if r[5] is None else str(r[5]), r[6]) for r in log]
     told = spark.createDataFrame(log, REPORT.replace("digest decimal(38,0)", "digest string"))
     return told.withColumn("digest", F.col("digest").cast("decimal(38,0)"))
+
+
+def write_document(df: DataFrame, path: str, variable: str | None = None) -> None:
+    """Write the one string of a one-row frame (a report whose size the calendar bounds) as
+    one UTF-8 file; with `variable` as a script that assigns it. The file is put in
+    place when it is complete."""
+    (text,) = df.collect()[0]
+    if variable:
+        text = f"window.{variable} = {text};\n"
+    spark = df.sparkSession
+    fs, to = _file_system(spark, path)
+    staging = os.path.join(os.path.dirname(path), f"_{os.path.basename(path)}-{uuid.uuid4().hex}")
+    stream = fs.create(_file_system(spark, staging)[1], True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if fs.exists(to):
+        fs.delete(to, False)
+    _move(spark, staging, path)
+
+
+def read_document(spark: SparkSession, path: str, variable: str | None = None) -> DataFrame:
+    """A written document as the string `document`, without the assignment."""
+    text = spark.read.text(path, wholetext=True)
+    if variable is None:
+        return text.withColumnRenamed("value", "document")
+    head = F.lit(f"window.{variable} = ")
+    inner = F.rtrim(F.regexp_replace("value", r";\s*$", ""))
+    return text.select(F.when(F.startswith("value", head), F.substring(inner, F.length(head) + 1, F.length(inner))).alias("document"))

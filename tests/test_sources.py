@@ -1,5 +1,6 @@
 """Sources: the order_items/events/users file layout, the fixture views, export."""
 
+import os
 from datetime import date
 
 import pandas as pd
@@ -9,6 +10,7 @@ from __spark_entry__ import entry
 from basketlens.params import default_params
 from basketlens.plans import churn, metrics
 from basketlens.sources import export_tables, fixture_tables, shop_tables
+from basketlens.sources.export import read_document, write_document
 from tests.conftest import SF001
 
 
@@ -109,3 +111,14 @@ def test_catalog_tables_read_registered_names(spark):
     a = metrics.monthly_product_metrics(t, p).collect()
     b = metrics.monthly_product_metrics(c, p).collect()
     assert a == b and len(a) > 0
+
+
+@pytest.mark.parametrize("variable", [None, "DATA"])
+def test_document_is_written_whole_and_replaced(spark, tmp_path, variable):
+    path = str(tmp_path / "site" / "data.js")
+    for text in ('{"a": "é; \\n"}', '{"b": [1, null, ";"]}'):
+        write_document(spark.createDataFrame([(text,)], "payload string"), path, variable)
+        with open(path, encoding="utf-8") as f:
+            assert f.read() == (f"window.DATA = {text};\n" if variable else text)
+        assert [r.document for r in read_document(spark, path, variable).collect()] == [text]
+    assert [f for f in os.listdir(tmp_path / "site") if not f.startswith(".")] == ["data.js"]
