@@ -1,7 +1,7 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are made integers, floor(scale * x). Every row stores its distances to a fixed
-set of pivots. For a query and a candidate the largest difference of their distances to a
+Vectors are made integers, floor(scale * x). Every pair of blocks has a table of the
+distances of its rows to a fixed set of pivots. For a query and a candidate the largest difference of their distances to a
 pivot is a lower bound of their own distance, and |q|^2 + |c|^2 less its square, halved,
 an upper bound of their inner product. Within a block, candidates are evaluated in
 the order of that bound until the next one can't reach the k-th best score.
