@@ -1,16 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart, one on windows of ordinary texts and one
-on windows of toxic texts. Of the toxic dictionary those words stay that are clearly
-more frequent in toxic samples than in ordinary ones, and the ordinary dictionary's
-content stands behind them; a window's gain is the bytes by which it is shorter under
-the toxic dictionary. What both have in common so costs either the same. A text's
-largest gains and its number of windows go into a logistic calibration, whose output
-is the score.
+zstandard dictionaries are trained apart on windows of ordinary and of toxic texts. What
+training puts into a dictionary depends on the order of its samples, so `DRAWS` toxic ones
+are trained, each on the samples in another order. Of their words those stay that are
+clearly more frequent in toxic samples than in ordinary ones, and the ordinary
+dictionary's content stands behind them; a window's gain is the bytes by which it is
+shorter under the toxic dictionary. What both have in common so costs either the same. A
+text's largest gains and its number of windows go into a logistic calibration, whose
+output is the score.
 
 The model is fitted on a bounded sample: at most `sample` labelled rows of each class,
-by a digest of their ids, none longer than `MAX_SAMPLE_BYTES`; near copies in the sample
-count once. Class shares for the calibration are counted over all training labels.
+by a digest of their ids, none longer than `MAX_SAMPLE_BYTES`; near copies among those of
+a class count once. Class shares for the calibration are counted over all training labels.
 Scoring reads whole texts and nothing but texts.
 
 Cases: null and empty texts have no window and the score of a text without gains. A
@@ -47,6 +48,9 @@ TRAIN_WINDOW = 64
 LEVEL = 9
 ORDINARY_BYTES = 16 * 1024
 TOXIC_BYTES = 110 * 1024
+DRAWS = 8
+# Near copies have at least `ALIKE` of their minimum hashes in common.
+HASHES, ALIKE = 32, 24
 # A word stays in the toxic dictionary from this z-score of its document shares on.
 CLEARLY = 5.0
 LEAST_DOCS = 3
@@ -102,19 +106,33 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def _distinct(texts: list[bytes]) -> list[bytes]:
-    """The texts less near copies: two that share a minimum hash of word triples."""
-    seen: set[int] = set()
-    out = []
+    """The texts less near copies of earlier ones, by minimum hashes of word triples."""
+    factors = np.random.default_rng(HASHES).integers(1 << 31, size=HASHES, dtype=np.uint64) * 2 + 1
+    holders: dict[tuple[int, int], list[int]] = {}
+    out: list[bytes] = []
     for text in texts:
         words = text.split()
-        hashes = [crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
-        marks = {min(hashes), -min(h * 0x9E3779B1 & 0xFFFFFFFF for h in hashes) - 1}
-        if not marks & seen:
+        triples = (b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+        hashes = np.fromiter(map(crc32, triples), dtype=np.uint64)
+        marks = [(n, int((hashes * f & np.uint64(0xFFFFFFFF)).min())) for n, f in enumerate(factors)]
+        shared = Counter(n for m in marks for n in holders.get(m, ()))
+        if max(shared.values(), default=0) < ALIKE:
+            for m in marks:
+                holders.setdefault(m, []).append(len(out))
             out.append(text)
-        seen |= marks
     return out
 
 
+def _drawn(texts: list[bytes]) -> bytes:
+    """The content of dictionaries trained on the texts in several orders."""
+    cut = [(t, windows(t, TRAIN_WINDOW)) for t in texts]
+    found = []
+    for draw in range(DRAWS):
+        cut.sort(key=lambda c: (crc32(c[0], draw), c[0]))
+        found.append(_trained([w for _, some in cut for w in some], TOXIC_BYTES, 32))
+    return b" ".join(found)
+
+
 def _telling_words(dictionary: bytes, toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Words of the dictionary that toxic texts have clearly more often, the most telling last."""
     words = {w for w in dictionary.split() if len(w) >= 3}
@@ -149,9 +167,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     if not any(toxic) or not any(ordinary):
         return Model(b"", b"", (), share)
-    cut = [[w for t in texts for w in windows(t, TRAIN_WINDOW)] for texts in (ordinary, toxic)]
-    base = _trained(cut[0], ORDINARY_BYTES, 24)
-    words = _telling_words(_trained(cut[1], TOXIC_BYTES, 32), toxic, ordinary)
+    base = _trained([w for t in ordinary for w in windows(t, TRAIN_WINDOW)], ORDINARY_BYTES, 24)
+    words = _telling_words(_drawn(toxic), toxic, ordinary)
     model = Model(base, b" " + b" ".join(words) + b" " + base, (), share)
     pair = _compressors(model)
     # The empty text counts as ordinary, or the calibration would only guess at it.

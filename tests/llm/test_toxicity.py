@@ -1,10 +1,12 @@
+import math
 import random
 from zlib import crc32
 
 import pytest
+import zstandard
 
 from basketlens.llm.common import read
-from basketlens.llm.toxicity import classify, fit, train, windows, without_toxic
+from basketlens.llm.toxicity import LEVEL, WINDOW, _compressor, _distinct, classify, features, fit, train, windows, without_toxic
 from tests.conftest import SF01
 
 DOCS, LABELS = "doc_id long, text string, score double, predicted string", "doc_id long, toxic int, text string"
@@ -89,3 +91,44 @@ def test_windows_are_the_whole_text():
     cut = windows(text, 64)
     assert b"".join(cut) == text and max(map(len, cut)) <= 64
     assert windows(b"", 64) == []
+
+
+def test_words_do_not_depend_on_the_order_of_the_sample():
+    docs, labels = made(n=300)
+    classes = [[d[1].encode().lower() for d, x in zip(docs, labels) if x[1] == toxic] for toxic in (1, 0)]
+    found = set()
+    for seed in range(3):
+        for texts in classes:
+            random.Random(seed).shuffle(texts)
+        model = fit(*classes, 1 / 7)
+        found.add(model.toxic[: len(model.toxic) - len(model.ordinary)])
+    assert len(found) == 1 and b"grobblewort" in found.pop()
+
+
+def test_only_near_copies_are_dropped_from_the_sample():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(100)]
+    sharing = [" ".join(passage + [word() for _ in range(100)]).encode() for _ in range(40)]
+    copies = [b" ".join([*sharing[0].split()[:-1], b"last%d" % n]) for n in range(20)]
+    assert _distinct(sharing + copies) == sharing
+    assert _distinct([b"", b"", b"one", b"one", b"two words"]) == [b"", b"one", b"two words"]
+
+
+def test_features_are_gains_of_windows():
+    """Against gains of one compressor made anew for each window."""
+    rng = random.Random(4)
+    ordinary, toxic = (bytes(rng.choice(b"abcdef ") for _ in range(2000)) for _ in range(2))
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(window))
+
+    for n in (0, 1, 95, 400, 3000):
+        text = bytes(rng.choice(b"abcdef ") for _ in range(n)) + toxic[:n]
+        gains = sorted((size(ordinary, w) - size(toxic, w) for w in windows(text, WINDOW)), reverse=True)
+        best = [max(0, g) for g in gains[:5]]
+        want = (1.0, sum(best[:1]), sum(best[:2]), sum(best), math.log1p(len(gains)))
+        assert features(text, _compressor(ordinary), _compressor(toxic)) == pytest.approx(want)
