@@ -53,3 +53,38 @@ def test_other_queries_and_empty(spark):
     got = top_k(frame, queries=F.col("id") == 1, k=2).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 3), (1, 2, 2)]
     assert top_k(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_floors_drop_only_what_cannot_reach_them():
+    rng = np.random.default_rng(14)
+    c = np.floor(rng.standard_normal((700, 6)) * 200)
+    q, near = c[:10], c[::70]
+    floors = np.sort(q @ c.T, axis=1)[:, -3]
+    for n, best, scores in search(q, _distances(q, near), c, _distances(c, near), np.arange(700), np.full(10, -1), 5, floors):
+        assert sorted(scores.tolist()) == sorted((c @ q[n])[c @ q[n] >= floors[n]].tolist()) and len(best) == 3
+
+
+def test_table_is_saved_once_and_blocks_are_left_out(spark, monkeypatch):
+    """Far clusters of vectors: a query goes to few of their blocks, the result stays exact."""
+    rng = np.random.default_rng(15)
+    centres = rng.standard_normal((12, 6)) * 40
+    rows = [(i, (centres[i % 12] + rng.standard_normal(6) * 0.1).tolist()) for i in range(600)]
+    monkeypatch.setattr(pivots, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(pivots, "SUMMARIES", 5)
+    pairs = []
+    kept = pivots.saved
+
+    def watched(df, name):
+        out = kept(df, name)
+        pairs.append((name, out))
+        return out
+
+    monkeypatch.setattr(pivots, "saved", watched)
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], SCHEMA)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(frame).collect()]
+    assert sorted(got, key=str) == slow(rows)
+    made = dict(pairs)
+    assert len(made) == len(pairs)
+    table = made["pivot-blocks"].select("row", "norm", "distances", "vector").collect()
+    assert len(table) == 600 and all(len(r.distances) == pivots.PIVOTS and r.norm == sum(x * x for x in r.vector) for r in table)
+    assert made["pairs-left"].count() < 0.5 * made["pivot-queries"].count() * made["block-bounds"].count()
