@@ -7,7 +7,9 @@ of the rotated vector for its part as the other side of a pair. The inner produc
 the signs of one and the 4-bit form of the other, divided by the correction, is an
 unbiased estimate of the cosine; its error bound follows from the correction. Only
 pairs whose bound reaches the threshold are computed again from the vectors in double
-precision, and only pairs that then reach it are links.
+precision, and only pairs that then reach it are links. Vectors are fetched for the rows
+that are in such a pair; pairs themselves are never listed, their bounds are taken again
+beside the vectors.
 
 Pairs to estimate come from bands: keys of a few bits sampled from a signature, the sides
 of `SIGNATURE` independent random planes. All bands draw from the one signature, so
@@ -47,6 +49,8 @@ RECALL = 0.997
 CONFIDENCE = 3.0
 MOST = 2048
 SMALL = 12
+# Pairs whose cosines are computed at a time.
+PART = 65_536
 # Bits that the bands sample; a multiple of 8, far more than a key has.
 SIGNATURE = 1024
 SEED = 20
@@ -102,8 +106,14 @@ def _chosen(width: int, count: int) -> np.ndarray:
     return np.array([rng.choice(SIGNATURE, width, replace=False) for _ in range(count)])
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; by their largest component first, as squares may overflow."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _signatures(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ _planes(vectors.shape[1]).T > 0
+    return _unit(vectors) @ _planes(vectors.shape[1]).T > 0
 
 
 def _band_keys(bits: np.ndarray, dimension: int, width: int, count: int) -> np.ndarray:
@@ -117,7 +127,7 @@ def _band_keys(bits: np.ndarray, dimension: int, width: int, count: int) -> np.n
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, ...]:
     """Code bits, correction, 4-bit levels, their lowest value and step."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _unit(vectors)
     turned = unit @ _rotation(vectors.shape[1]).T
     correction = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
     low = turned.min(axis=1)
@@ -230,29 +240,41 @@ def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _estimated(threshold: float, confidence: float, width: int, count: int):
-    """Tasks that find the rows in a pair which needs recomputation."""
+class _Estimates:
+    """Upper confidence bounds of cosines from codes, corrections and 4-bit forms."""
 
-    def rows_to_check(rows: pa.RecordBatch) -> np.ndarray:
-        codes, packed = byte_matrix(rows.column("code")), byte_matrix(rows.column("levels"))
-        f, low, step = (rows.column(c).to_numpy() for c in ("correction", "low", "step"))
-        error = confidence * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(codes.shape[1] * 8 - 1)
+    def __init__(self, signs, correction, levels, low, step, confidence: float):
+        self.signs, self.f, self.levels, self.low, self.step = signs, correction, levels, low, step
+        f, bits = correction, signs.shape[1]
+        self.error = confidence * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(bits - 1)
+
+    def _other_side(self, i: np.ndarray) -> np.ndarray:
+        return self.low[i, None] + self.step[i, None] * self.levels[i]
+
+    def _bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.signs[i], self._other_side(j)) / self.f[i] + self.error[i]
 
-        def other_side(i: np.ndarray) -> np.ndarray:
-            levels = np.empty((len(i), 2 * packed.shape[1]), dtype=np.float32)
-            levels[:, ::2], levels[:, 1::2] = packed[i] >> 4, packed[i] & 15
-            return low[i, None] + step[i, None] * levels
+    def pass_pairs(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the bounds of both sides of each pair reach the threshold."""
+        return (self._bound(i, j) >= threshold) & (self._bound(j, i) >= threshold)
 
-        def bound(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.einsum("ij,ij->i", _signs(codes[i]), other_side(j)) / f[i] + error[i]
+    def pass_square(self, i: np.ndarray, threshold: float) -> np.ndarray:
+        bounds = (self.signs[i] @ self._other_side(i).T) / self.f[i, None] + self.error[i, None]
+        return (bounds >= threshold) & (bounds.T >= threshold)
 
-        def square(i: np.ndarray) -> np.ndarray:
-            bounds = (_signs(codes[i]) @ other_side(i).T) / f[i, None] + error[i, None]
-            return (bounds >= threshold) & (bounds.T >= threshold)
 
+def _estimated(threshold: float, confidence: float, width: int, count: int):
+    """Tasks that find the rows in a pair which needs recomputation."""
+
+    def rows_to_check(rows: pa.RecordBatch) -> np.ndarray:
+        packed = byte_matrix(rows.column("levels"))
+        levels = np.empty((len(packed), 2 * packed.shape[1]), dtype=np.float32)
+        levels[:, ::2], levels[:, 1::2] = packed >> 4, packed & 15
+        f, low, step = (rows.column(c).to_numpy() for c in ("correction", "low", "step"))
+        known = _Estimates(_signs(byte_matrix(rows.column("code"))), f, levels, low, step, confidence)
         first = _first_band(rows, width, count)
         found = np.zeros(rows.num_rows, dtype=bool)
-        for i, j in _pairs(rows, lambda i, j: (bound(i, j) >= threshold) & (bound(j, i) >= threshold), square):
+        for i, j in _pairs(rows, lambda i, j: known.pass_pairs(i, j, threshold), lambda i: known.pass_square(i, threshold)):
             good = first(i, j)
             found[i[good]] = found[j[good]] = True
         return found
@@ -272,20 +294,29 @@ def _estimated(threshold: float, confidence: float, width: int, count: int):
     return task
 
 
-def _recomputed(threshold: float, width: int, count: int):
-    """Tasks that give each row its links (in copies of the vectors linked) and the
-    first row of its component within the key."""
+def _cosines(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", unit[i], unit[j])
+
+
+def _recomputed(threshold: float, confidence: float, width: int, count: int):
+    """Tasks that compute the pairs again that their bounds leave, and give each row its
+    links (in copies of the vectors linked) and the first row of its component within the key."""
 
     def links_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         vectors = matrix(rows.column("vector"), np.float64)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = _unit(vectors)
         n = rows.column("n").to_numpy()
         first = _first_band(rows, width, count)
         links, root = np.zeros(rows.num_rows, dtype=np.int64), np.arange(rows.num_rows)
-        near = lambda i, j: np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-        for i, j in _pairs(rows, near, lambda i: unit[i] @ unit[i].T >= threshold):
+        bits, *rest = encode(vectors)
+        signs = (2 * bits.astype(np.float32) - 1) / np.sqrt(np.float32(bits.shape[1]))
+        known = _Estimates(signs, *(x.astype(np.float32) for x in rest), confidence)
+        # The pairs that pass are the only ones whose cosine is computed.
+        for i, j in _pairs(rows, lambda i, j: known.pass_pairs(i, j, threshold), lambda i: known.pass_square(i, threshold)):
             good = first(i, j)
             i, j = i[good], j[good]
+            near = np.concatenate([_cosines(unit, i[at : at + PART], j[at : at + PART]) for at in range(0, max(len(i), 1), PART)]) >= threshold
+            i, j = i[near], j[near]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             _union(root, i, j)
@@ -336,7 +367,7 @@ def near_duplicates(
     coded = in_arrow(classes.select("cid", "vector"), _coder(width, count), CODED)
     involved = _over_groups(coded, _estimated(threshold, confidence, width, count), INVOLVED, most, "involved").distinct()
     whole = involved.join(classes.select("cid", "n", "vector", F.size("vector").alias("dimension")), "cid")
-    linked = _over_groups(whole, _recomputed(threshold, width, count), LINKED, most, "linked")
+    linked = _over_groups(whole, _recomputed(threshold, confidence, width, count), LINKED, most, "linked")
 
     links = saved(linked.groupBy("cid").agg(F.sum("links").alias("links")), "vector-links")
     roots = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketlens.llm import rabitq
@@ -105,3 +106,37 @@ def test_wide_keys_keep_their_recall(spark, monkeypatch, bits):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_pairs_that_pass_are_computed_again(spark, monkeypatch):
+    """Groups of one direction each within one key; cosines are computed within groups alone."""
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal(32)
+    far = [base + rng.standard_normal(32) * 0.9 for _ in range(4)]
+    vectors = np.array([f + rng.standard_normal(32) * 0.01 for f in far for _ in range(30)])
+    rows = pa.record_batch(
+        {
+            "key": pa.array(np.zeros(120, dtype=np.int64)),
+            "home": pa.array(np.zeros(120, dtype=np.int64)),
+            "block": pa.array(np.zeros(120, dtype=np.int32)),
+            "cross": pa.array(np.zeros(120, dtype=bool)),
+            "band": pa.array(np.zeros(120, dtype=np.int32)),
+            "cid": pa.array(np.arange(120)),
+            "signature": pa.array([np.packbits(s).tobytes() for s in rabitq._signatures(vectors)]),
+            "dimension": pa.array(np.full(120, 32, dtype=np.int32)),
+            "n": pa.array(np.ones(120, dtype=np.int64)),
+            "vector": pa.array(vectors.tolist()),
+        }
+    )
+    computed = []
+    kept = rabitq._cosines
+    monkeypatch.setattr(rabitq, "_cosines", lambda unit, i, j: (computed.append(len(i)), kept(unit, i, j))[1])
+    (out,) = rabitq._recomputed(0.95, rabitq.CONFIDENCE, 8, 13)(None)(iter([rows]))
+    assert out.column("links").to_pylist() == [29] * 120
+    assert 4 * 30 * 29 // 2 <= sum(computed) < 120 * 119 // 2
+
+
+def test_very_large_and_very_small_components(spark):
+    vectors = [(1, [1e200, 2e200]), (2, [1e200, 2.0000001e200]), (3, [1e-200, 2e-200]), (4, [-1e200, 2e200])]
+    got = near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
