@@ -6,6 +6,9 @@ matching buckets side by side. A customer with more rows than a bucket should ho
 make one bucket, and one task, of any size; rows of such customers, and those without a user,
 go to a table of their own without buckets, whose rollups shuffle partial sums. There are
 fewer such customers than buckets, by their definition.
+
+The items may be a view (a join of raw tables, say) that three of these tables are made
+from. It is computed once, into a staged copy that is deleted in the end.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.session import ensure_checkpoint_dir
+from basketlens.sources.export import _file_system
 from basketlens.sources.tables import Tables
 
 BUCKETS = 32
@@ -56,14 +60,19 @@ def publish(t: Tables, database: str, buckets: int = BUCKETS, folder: str | None
             writer = writer.bucketBy(buckets, by).sortBy(*order)
         writer.saveAsTable(f"`{database}`.`{name}`")
 
-    write(large_users(t.order_items, buckets), "large_users", None)
+    staging = os.path.join(folder, "staged_items")
+    t.order_items.write.parquet(staging, compression="zstd")
+    items = spark.read.schema(t.order_items.schema).parquet(staging)
+    write(large_users(items, buckets), "large_users", None)
     # Fewer rows than buckets: small enough to send to every task.
     large = F.broadcast(spark.table(f"`{database}`.`large_users`"))
-    write(t.order_items.filter(F.col("user_id").isNotNull()).join(large, "user_id", "left_anti"), "order_items", "user_id")
-    of_large = t.order_items.join(large, "user_id", "left_semi")
-    write(of_large.unionByName(t.order_items.filter(F.col("user_id").isNull())), "order_items_large", None)
+    write(items.filter(F.col("user_id").isNotNull()).join(large, "user_id", "left_anti"), "order_items", "user_id")
+    of_large = items.join(large, "user_id", "left_semi")
+    write(of_large.unionByName(items.filter(F.col("user_id").isNull())), "order_items_large", None)
     write(t.users, "users", "id")
     write(t.events, "events", None)
+    fs, at = _file_system(spark, staging)
+    fs.delete(at, True)
 
 
 def published(spark: SparkSession, database: str) -> Layout:

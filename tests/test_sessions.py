@@ -16,6 +16,7 @@ from basketlens.plans.metrics import monthly_sales
 from basketlens.plans.orders import first_order_repeat_by_channel
 from basketlens.plans.sessions import session_gap_churn, user_sessions
 from basketlens.plans.warehouse import catalog_first_order_repeat, catalog_monthly_sales, first_orders_with_users, user_order_months
+from basketlens.sources.tables import Tables
 from basketlens.sources.warehouse import large_users, publish, published
 from tests.frames import item, params, tables, ts
 
@@ -217,6 +218,27 @@ def test_layout_gives_the_same_metrics(spark):
     assert tables_by_user.ordinary.order_items.filter("user_id = 1 or user_id is null").isEmpty()
 
 
+def test_layout_computes_the_items_once(spark, tmp_path):
+    rows = [item(n, n % 7 or None, ts(2020, 3, 1), n) for n in range(60)] + [item(n, 1, ts(2020, 3, 2), 5) for n in range(60, 100)]
+    t = tables(spark, rows)
+    given = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            given.add(batch.num_rows)
+            yield batch
+
+    source = t.order_items.mapInArrow(passed, t.order_items.schema)
+    spark.sql("DROP DATABASE IF EXISTS layout_once CASCADE")
+    publish(Tables(source, t.events, t.users), "layout_once", buckets=4, folder=str(tmp_path))
+    assert given.value == 100
+    found = published(spark, "layout_once")
+    assert (found.ordinary.order_items.count(), found.large.order_items.count()) == (42, 58)
+    both = found.ordinary.order_items.unionByName(found.large.order_items)
+    assert sorted(map(str, both.select(*t.order_items.columns).collect())) == sorted(map(str, t.order_items.collect()))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["events", "large_users", "order_items", "order_items_large", "users"]
+
+
 def test_work_by_user_needs_no_shuffle(spark):
     _, found = layout(spark, "layout_plans")
     p = params()
