@@ -34,9 +34,11 @@ SPREAD_DAYS = 2
 
 
 def order_items_view(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    # One column of times that are mostly null passes through the join, not flags and dates.
-    returned = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned_at")
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", returned)
+    # One price and one time that is mostly null pass through the join, not the columns
+    # that they are made from. The price becomes a decimal, which may fail, after it.
+    price = F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))
+    li = lineitem.select("l_orderkey", "l_linenumber", price.alias("_price"), returned.alias("returned_at"))
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
@@ -48,7 +50,7 @@ def order_items_view(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             "created_at"
         ),
         "returned_at",
-        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).cast("decimal(18,4)").alias("sale_price"),
+        F.col("_price").cast("decimal(18,4)").alias("sale_price"),
     )
 
 

@@ -52,11 +52,11 @@ def publish(t: Tables, database: str, buckets: int = BUCKETS, folder: str | None
     spark.sql(f"CREATE DATABASE `{database}` LOCATION '{folder}'")
 
     def write(df: DataFrame, name: str, by: str | None) -> None:
-        writer = df.write.format("parquet").option("path", os.path.join(folder, name))
+        # One file for each bucket.
+        writer = (df.repartition(buckets, by) if by else df).write.format("parquet")
+        writer = writer.options(path=os.path.join(folder, name), compression="zstd")
         if by:
             order = [by, "created_at"] if "created_at" in df.columns else [by]
-            # One file for each bucket.
-            writer = df.repartition(buckets, by).write.format("parquet").option("path", os.path.join(folder, name))
             writer = writer.bucketBy(buckets, by).sortBy(*order)
         writer.saveAsTable(f"`{database}`.`{name}`")
 
